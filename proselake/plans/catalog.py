@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from proselake.plans.registry import QUERIES, SQL, Query
 
-from proselake.session import table
+FLAGSHIP = "core_metrics"
+MODULES = ("operators.views", "operators.core_metrics", "operators.style", "operators.rhythm", "operators.lexical")
+for _m in MODULES:
+    importlib.import_module(f"proselake.{_m}")
 
-FLAGSHIP = "word_counts"
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"word_counts": lambda s, d: table(s, d, "documents").select("doc_id").distinct()}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"word_counts": "SELECT DISTINCT doc_id FROM documents"}
+    return dict(SQL)
