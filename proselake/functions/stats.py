@@ -39,9 +39,10 @@ def summarize(df: DataFrame, keys: list[str], x: str) -> DataFrame:
         quantiles("x", (0.1, 0.25, 0.5, 0.75, 0.9)).alias("q"), skewness("x").alias("skewness"), excess_kurtosis("x").alias("kurtosis"),
     )
     s = s.withColumn("median", F.col("q")[2])
-    dev = held.join(s.select(*keys, "median"), [held[k].eqNullSafe(s[k]) for k in keys]).select(*(held[k] for k in keys), F.abs(F.col("x") - F.col("median")).alias("d"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    dev = held.alias("h").join(s.select(*keys, "median").alias("c"), same("h", "c")).select(*(F.col(f"h.{k}").alias(k) for k in keys), F.abs(F.col("h.x") - F.col("c.median")).alias("d"))
     mad = dev.groupBy(*keys).agg(F.percentile("d", F.lit(0.5)).alias("mad"))
-    s = s.alias("s").join(mad.alias("m"), [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    s = s.alias("s").join(mad.alias("m"), same("s", "m"))
     n = F.col("n").cast("double")
     bimodal = (F.pow("skewness", 2) + 1) / (F.col("kurtosis") + 3 * F.pow(n - 1, 2) / ((n - 2) * (n - 3)))
     return s.select(

@@ -32,6 +32,6 @@ def r6(c: Column | str) -> Column:
 
 
 def sig(c: Column | str) -> Column:
-    """Seven significant digits, for values of any magnitude."""
+    """Ten significant digits, for values of any magnitude."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNotNull(), F.format_string("%.6e", c.cast("double")).cast("double") + F.lit(0.0))
+    return F.when(c.isNotNull(), F.format_string("%.9e", c.cast("double")).cast("double") + F.lit(0.0))
