@@ -7,7 +7,7 @@ import importlib
 from proselake.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "core_metrics"
-MODULES = ("operators.views", "operators.core_metrics", "operators.style", "operators.rhythm", "operators.lexical", "operators.compare", "operators.sequences", "operators.conversation")
+MODULES = ("operators.views", "operators.core_metrics", "operators.style", "operators.rhythm", "operators.lexical", "operators.compare", "operators.sequences", "operators.conversation", "operators.catalogue", "operators.quality", "operators.similarity", "operators.reports")
 for _m in MODULES:
     importlib.import_module(f"proselake.{_m}")
 
