@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselake.llm import bpe, lookalike, markup, mixing, percentiles, reading, repeated_lines, repetition, residue, sentences
-from proselake.session import prepare, table
+from proselake.session import materialize, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 P6_KEYS = ["metric_id", "corpus"]
@@ -19,17 +19,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the finite values of each metric and corpus."""
-    buckets = percentiles.sketch(table(spark, sf_dir, "findings").select("value", *P6_KEYS), P6_KEYS)
-    p = percentiles.percentiles(buckets, P6_KEYS)
-    return p.select(*P6_KEYS, "q", "n", _rounded("value").alias("value"))
+    """Percentiles of the finite values of each metric and corpus, for each day of measured_at (span day) and for all days
+    together (span all). The whole comes from the merged sketches of the days, not from the values again."""
+    f = table(spark, sf_dir, "findings").select("value", *P6_KEYS, F.to_date("measured_at").alias("day"))
+    days = materialize(percentiles.sketch(f, [*P6_KEYS, "day"]))
+    each = percentiles.percentiles(days, [*P6_KEYS, "day"]).withColumn("span", F.lit("day"))
+    whole = percentiles.percentiles(percentiles.merge(days, P6_KEYS), P6_KEYS).withColumns({"day": F.lit(None).cast("date"), "span": F.lit("all")})
+    return each.unionByName(whole).select(*P6_KEYS, "span", "day", "q", "n", _rounded("value").alias("value"))
 
 
-def p6_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from sketches of single days, merged."""
-    f = table(spark, sf_dir, "findings").select("value", *P6_KEYS, F.to_date("measured_at").alias("day"))
-    days = percentiles.sketch(f, [*P6_KEYS, "day"])
-    p = percentiles.percentiles(percentiles.merge(days, P6_KEYS), P6_KEYS)
+def p6_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of all days from one sketch of all values."""
+    p = percentiles.percentiles(percentiles.sketch(table(spark, sf_dir, "findings").select("value", *P6_KEYS), P6_KEYS), P6_KEYS)
     return p.select(*P6_KEYS, "q", "n", _rounded("value").alias("value"))
 
 
@@ -61,7 +62,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_sentences": lambda s, d: sentences.sentences(_docs(s, d)),
         "p6_percentiles": p6_percentiles,
-        "p6_merged_days": p6_merged_days,
+        "p6_unsplit": p6_unsplit,
         "p7_found": lambda s, d: lookalike.lookalike_pairs(_docs(s, d)),
         "p7_normalized": lambda s, d: lookalike.normalized(_docs(s, d)).select("doc_id", "text"),
         "p8_ids": lambda s, d: bpe.token_ids(_docs(s, d)),
@@ -89,18 +90,19 @@ need AS (SELECT source, greatest(3, count(*) * 0.2) AS need FROM documents WHERE
 bad AS (SELECT keyed.source, k FROM keyed JOIN need USING (source) WHERE length(k) >= 10 GROUP BY keyed.source, k, need HAVING count(DISTINCT doc_id) >= need),
 found AS (SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN bad USING (source, k))
 """
-_BUCKETS = """
-WITH b AS (
-  SELECT metric_id, corpus, CAST(sign(value) AS INTEGER) AS sgn,
+def _p6_sql(keys: str, rows: str, more: str) -> str:
+    return f"""(WITH b AS (
+  SELECT {keys}, CAST(sign(value) AS INTEGER) AS sgn,
          CASE WHEN value = 0 THEN 0 ELSE CAST(ceil(ln(abs(value)) / ln(1.01 / 0.99)) AS INTEGER) END AS bucket, count(*) AS n
-  FROM findings WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY metric_id, corpus) AS total FROM b
-      WINDOW w AS (PARTITION BY metric_id, corpus ORDER BY sgn, sgn * bucket)),
+  FROM {rows} WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM b WINDOW w AS (PARTITION BY {keys} ORDER BY sgn, sgn * bucket)),
 q AS (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q)
-SELECT metric_id, corpus, q, CAST(total AS BIGINT) AS n,
-       format('{:.7e}', CASE WHEN sgn = 0 THEN 0.0 ELSE sgn * (2 / (1.01 / 0.99 + 1)) * pow(1.01::DOUBLE / 0.99, bucket) END) AS value
-FROM c, q WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n
-"""
+SELECT metric_id, corpus, {more} q, CAST(total AS BIGINT) AS n,
+       format('{{:.7e}}', CASE WHEN sgn = 0 THEN 0.0 ELSE sgn * (2 / (1.01 / 0.99 + 1)) * pow(1.01::DOUBLE / 0.99, bucket) END) AS value
+FROM c, q WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n)"""
+
+
+_DAYS = "(SELECT metric_id, corpus, value, CAST(measured_at AS DATE) AS day FROM findings)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,6 +113,6 @@ def oracle_sql() -> dict[str, str]:
 SELECT d.doc_id, CASE WHEN gone IS NULL THEN text ELSE
   array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(gone, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text
 FROM documents d LEFT JOIN gone USING (doc_id)""",
-        "p6_percentiles": _BUCKETS,
-        "p6_merged_days": _BUCKETS,
+        "p6_percentiles": _p6_sql("metric_id, corpus, day", _DAYS, "'day' AS span, day,") + " UNION ALL " + _p6_sql("metric_id, corpus", "findings", "'all' AS span, NULL::DATE AS day,"),
+        "p6_unsplit": _p6_sql("metric_id, corpus", "findings", ""),
     }
