@@ -101,7 +101,7 @@ d AS (SELECT *, p0 + least(ed, greatest(50, 2 * p0)) AS pa FROM c)"""
 )
 def text_narrator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narrator's person and tense outside quotations, from pronouns and verb forms."""
-    n = arrays(docs(spark, sf_dir)).select("doc_id", T.tokens(T.narration(F.col("body"))).alias("t"))
+    n = arrays(docs(spark, sf_dir), want="").select("doc_id", T.tokens(T.narration(F.col("body"))).alias("t"))
     c = n.select("doc_id", count_words(F.col("t"), FIRST).alias("f"), count_words(F.col("t"), THIRD).alias("th"), count_words(F.col("t"), PAST).alias("p0"), F.size(F.filter("t", lambda x: x.endswith("ed") & (F.length(x) > 3))).alias("ed"), count_words(F.col("t"), PRESENT).alias("pr"))
     c = c.withColumn("pa", F.col("p0") + F.least(F.col("ed"), F.greatest(F.lit(50), 2 * F.col("p0"))))
     share, past = F.col("f") / (F.col("f") + F.col("th")), F.col("pa") / (F.col("pa") + F.col("pr"))

@@ -184,7 +184,7 @@ lo2 AS (SELECT profile, obs_id, family, avg(a) AS a FROM lo1 JOIN fam USING (met
 
 @query(
     "compare_typicality",
-    f"""WITH {_ATYPICAL} SELECT doc_id, corpus, round(any_value(atypicality), 6) AS atypicality, any_value(families) AS families,
+    f"""WITH {_ATYPICAL} SELECT doc_id, corpus, round(any_value(atypicality), 9) AS atypicality, any_value(families) AS families,
 round(100.0 * (count(*) FILTER (round(lo3.a, 9) > round(atypicality, 9)) + 0.5 * count(*) FILTER (round(lo3.a, 9) = round(atypicality, 9))) / count(*), 6) AS score FROM da JOIN lo3 ON lo3.profile = da.corpus GROUP BY doc_id, corpus HAVING count(*) >= 10""",
 )
 def compare_typicality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def compare_typicality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = lo.groupBy(F.col("profile").alias("corpus")).agg(F.sort_array(F.collect_list(F.round("a", 9))).alias("vals")).where(F.size("vals") >= 10)
     j = da.join(broadcast_if_small(ref, 20_000), "corpus").withColumn("x", F.round("atypicality", 9))
     n, lt, le = F.size("vals"), below(F.col("vals"), F.col("x"), False), below(F.col("vals"), F.col("x"), True)
-    return j.select("doc_id", "corpus", r6("atypicality").alias("atypicality"), "families", r6(100.0 * (n - le + 0.5 * (le - lt)) / n).alias("score"))
+    return j.select("doc_id", "corpus", F.round("atypicality", 9).alias("atypicality"), "families", r6(100.0 * (n - le + 0.5 * (le - lt)) / n).alias("score"))
 
 
 def held_out_atypicality(dist: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ SELECT doc_id, CAST(n AS INTEGER) AS n, round(log2(sum(c)) - sum(c * log2(c)) /
 )
 def lexical_ngram_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of word uni-, bi- and trigrams in bits."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "toks").withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where(F.size("toks") >= F.col("n"))
+    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks").withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where(F.size("toks") >= F.col("n"))
     grams = F.transform(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("toks", i, F.col("n")), " ")))
     e = stats.entropy_of_counts(a.select("doc_id", F.col("n").alias("size"), F.explode(grams).alias("gram")), ["doc_id", "size"], "gram")
     return e.select("doc_id", F.col("size").alias("n"), r6("entropy").alias("entropy"))

@@ -11,8 +11,9 @@ from proselake.plans.registry import query, r6
 # Classes of characters and their patterns.
 CHARACTERS = {
     "control": r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "zero_width": r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "replacement": r"\x{FFFD}", "nonbreaking": r"[\x{A0}\x{202F}\x{2007}]",
-    "private_use": r"\p{Co}", "whitespace_run": r"[ \t]{2,}", "caps_word": r"\b[A-Z]{2,}\b", "broken_hyphen": r"[A-Za-z]{2,}-\n[ \t]*[a-z]{2,}", "mojibake": r"Ã[\x{80}-\x{BF}]|â€",
+    "private_use": r"\p{Co}", "whitespace_run": r"[ \t]{2,}", "broken_hyphen": r"[A-Za-z]{2,}-\n[ \t]*[a-z]{2,}", "mojibake": r"Ã[\x{80}-\x{BF}]|â€",
 }
+WORDLIKE, CAPS = r"[\p{L}\p{M}\p{N}_]+", "^[A-Z]{2,}$"
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Devanagari", "Thai", "Han", "Hiragana", "Katakana", "Hangul", "Hebrew")
 
 
@@ -20,11 +21,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-@query("quality_characters", "SELECT doc_id, length(text) AS n_chars, " + ", ".join(f"round(1000.0 * len(regexp_extract_all(text, '{p}')) / length(text), 6) AS {k}_rate" for k, p in CHARACTERS.items()) + " FROM documents WHERE length(text) > 0")
+@query("quality_characters", "SELECT doc_id, length(text) AS n_chars, " + ", ".join(f"round(1000.0 * len(regexp_extract_all(text, '{p}')) / length(text), 6) AS {k}_rate" for k, p in CHARACTERS.items()) + f", round(1000.0 * len(list_filter(regexp_extract_all(text, '{WORDLIKE}'), lambda x: regexp_matches(x, '{CAPS}'))) / length(text), 6) AS caps_word_rate FROM documents WHERE length(text) > 0")
 def quality_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd characters and typography per thousand characters."""
     d = docs(spark, sf_dir).where("length(text) > 0")
-    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), *(r6(1000.0 * count(F.col("text"), p) / F.length("text")).alias(f"{k}_rate") for k, p in CHARACTERS.items()))
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), *(r6(1000.0 * count(F.col("text"), p) / F.length("text")).alias(f"{k}_rate") for k, p in CHARACTERS.items()), r6(1000.0 * F.size(F.filter(F.regexp_extract_all("text", F.lit(WORDLIKE), F.lit(0)), lambda w: w.rlike(CAPS))) / F.length("text")).alias("caps_word_rate"))
 
 
 @query(

@@ -51,7 +51,7 @@ SELECT doc_id, r.source, round(r, 6) AS long_share, round(r - m, 6) + 0.0 AS abo
 )
 def report_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of words of nine letters or more, against the median of the source."""
-    a = arrays(docs(spark, sf_dir).where("source is not null"), "source").select("doc_id", "source", "ws").where(F.size("ws") > 0)
+    a = arrays(docs(spark, sf_dir).where("source is not null"), "source", want="ws").select("doc_id", "source", "ws").where(F.size("ws") > 0)
     r = a.select("doc_id", "source", (100.0 * F.size(F.filter("ws", lambda w: F.length(w) >= 9)) / F.size("ws")).alias("r"))
     m = r.groupBy("source").agg(F.percentile("r", F.lit(0.5)).alias("m"))
     return r.join(m, "source").select("doc_id", "source", r6("r").alias("long_share"), r6(F.col("r") - F.col("m")).alias("above_median"))
@@ -64,7 +64,7 @@ SELECT doc_id, CAST(sum(c) AS BIGINT) AS numbers, count(*) AS kinds, round(1000.
 )
 def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in figures, and how they concentrate on the commonest."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", F.size("ws").alias("w"), F.explode(F.regexp_extract_all("body", F.lit(NUMBER_RE), F.lit(0))).alias("x")).where("w > 0")
+    a = arrays(docs(spark, sf_dir), want="ws").select("doc_id", F.size("ws").alias("w"), F.explode(F.regexp_extract_all("body", F.lit(NUMBER_RE), F.lit(0))).alias("x")).where("w > 0")
     c = a.groupBy("doc_id", "w", "x").agg(F.count(F.lit(1)).alias("c"))
     g = c.groupBy("doc_id", "w").agg(F.sum("c").alias("numbers"), F.count(F.lit(1)).alias("kinds"), F.max("c").alias("top"))
     return g.select("doc_id", "numbers", "kinds", r6(1000.0 * F.col("numbers") / F.col("w")).alias("per_1000_words"), r6(100.0 * F.col("top") / F.col("numbers")).alias("top_share"))
@@ -73,7 +73,7 @@ def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("report_banned", f"WITH {BODY} SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(body, '{p}')) AS {k}" for k, p in BANNED.items()) + " FROM b")
 def report_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of configured patterns."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "body")
+    a = arrays(docs(spark, sf_dir), want="").select("doc_id", "body")
     return a.select("doc_id", *(F.size(F.regexp_extract_all("body", F.lit(p), F.lit(0))).cast("bigint").alias(k) for k, p in BANNED.items()))
 
 
@@ -84,7 +84,7 @@ SELECT source, count(*) AS docs, CAST(sum(w) AS BIGINT) AS words, round(100.0 *
 )
 def report_source_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken share of each source."""
-    a = arrays(docs(spark, sf_dir).where("source is not null"), "source")
+    a = arrays(docs(spark, sf_dir).where("source is not null"), "source", want="ws")
     q = a.select("source", F.size("ws").alias("w"), F.size(T.words(F.array_join(F.regexp_extract_all("body", F.lit(T.QUOTED), F.lit(0)), "\n"))).alias("d"))
     return q.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), r6(100.0 * F.sum("d") / F.sum("w")).alias("dialogue_share")).where("words > 0")
 

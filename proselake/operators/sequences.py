@@ -44,12 +44,12 @@ def sequence_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sequence_trend",
-    f"WITH {CLEAN} SELECT doc_id, seq_name, count(*) AS n, round(regr_slope(x, i), 6) + 0.0 AS slope, round(regr_intercept(x, i), 6) + 0.0 AS intercept, round(regr_r2(x, i), 6) AS r2, round(stddev_samp(x), 6) AS sd FROM c GROUP BY ALL HAVING count(*) >= 3 AND stddev_samp(x) > 1e-9",
+    f"WITH {CLEAN} SELECT doc_id, seq_name, count(*) AS n, round(regr_slope(x, i), 9) + 0.0 AS slope, round(regr_intercept(x, i), 9) + 0.0 AS intercept, round(regr_r2(x, i), 9) AS r2, round(stddev_samp(x), 9) AS sd FROM c GROUP BY ALL HAVING count(*) >= 3 AND stddev_samp(x) > 1e-9",
 )
 def sequence_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-squares line through each sequence."""
     s = _seq(spark, sf_dir).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("x", "i").alias("slope"), F.regr_intercept("x", "i").alias("intercept"), F.regr_r2("x", "i").alias("r2"), F.stddev_samp("x").alias("sd"))
-    return s.where("n >= 3 and sd > 1e-9").select(*KEYS, "n", *(r6(c).alias(c) for c in ("slope", "intercept", "r2", "sd")))
+    return s.where("n >= 3 and sd > 1e-9").select(*KEYS, "n", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("slope", "intercept", "r2", "sd")))
 
 
 @query(

@@ -67,7 +67,7 @@ SELECT doc_id, count(*) FILTER (c > 1) AS clusters, round(100.0 * coalesce(sum(c
 )
 def similarity_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of equal words within a document."""
-    k = arrays(docs(spark, sf_dir)).select("doc_id", F.explode(F.transform("ss", lambda s: F.xxhash64(F.array_join(T.tokens(s), " ")))).alias("k"))
+    k = arrays(docs(spark, sf_dir), want="ss").select("doc_id", F.explode(F.transform("ss", lambda s: F.xxhash64(F.array_join(T.tokens(s), " ")))).alias("k"))
     c = k.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("c"))
     many = F.col("c") > 1
     return c.groupBy("doc_id").agg(F.sum(F.when(many, 1).otherwise(0)).alias("clusters"), r6(100.0 * F.sum(F.when(many, F.col("c")).otherwise(0)) / F.sum("c")).alias("repeated_share"), F.max("c").alias("largest"))

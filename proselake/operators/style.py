@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import text as T
 from proselake.operators.core_metrics import arrays, count_if, mean
+from proselake.operators.core_metrics import held as plain
 from proselake.operators.views import QUOTED_SQL, SENT, TOK, WORD_SQL, docs, tokens
 from proselake.plans.registry import query, r6
 
@@ -42,18 +43,16 @@ def sql_list(xs: list[str]) -> str:
 
 
 def count_words(toks: Column, xs: list[str]) -> Column:
-    held = lits(xs)
-    return count_if(toks, lambda t: F.array_contains(held, t))
+    return count_if(toks, lambda t: t.isin(xs))
 
 
-def count_phrases(toks: Column, phrases: list[str]) -> Column:
-    """Occurrences of one- to three-word phrases, each by its words in order."""
-    singles = [p for p in phrases if " " not in p]
-    joined = F.concat(F.lit("  "), F.array_join(toks, "  "), F.lit("  "))
-    out = count_words(toks, singles)
+def count_phrases(toks: Column, joined: Column, phrases: list[str]) -> Column:
+    """Occurrences of one- to three-word phrases. joined: the tokens with two spaces before, between and after them."""
+    out = count_words(toks, [p for p in phrases if " " not in p])
     for p in phrases:
         if " " in p:
-            out = out + F.size(F.regexp_extract_all(joined, F.lit(" " + p.replace(" ", "  ") + " "), F.lit(0)))
+            spaced = " " + p.replace(" ", "  ") + " "
+            out = out + (F.length(joined) - F.length(F.replace(joined, F.lit(spaced), F.lit("")))) / F.lit(len(spaced))
     return out
 
 
@@ -80,16 +79,17 @@ def _phrases_sql(xs: list[str]) -> str:
 )
 def style_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal markers, hedges, boosters, modals, absolutes and negations per thousand words."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "toks").where(F.size("toks") > 0)
+    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks").where(F.size("toks") > 0)
+    a = plain(a.withColumn("joined", F.concat(F.lit("  "), F.array_join("toks", "  "), F.lit("  "))))
     n = F.size("toks")
     rates = {"causal": CAUSAL, "hedge": HEDGES, "booster": BOOSTERS, "modal": MODALS, "absolute": ABSOLUTE, "negation": NEGATION}
-    return a.select("doc_id", n.cast("bigint").alias("n_words"), *(r6(1000.0 * count_phrases(F.col("toks"), v) / n).alias(f"{k}_rate") for k, v in rates.items()))
+    return a.select("doc_id", n.cast("bigint").alias("n_words"), *(r6(1000.0 * count_phrases(F.col("toks"), F.col("joined"), v) / n).alias(f"{k}_rate") for k, v in rates.items()))
 
 
 @query("style_pronouns", _LISTS + "SELECT doc_id, " + ", ".join(f"round(1000.0 * {_words_sql(v)} / w, 6) AS {k}_rate" for k, v in PRONOUNS.items()) + " FROM t")
 def style_pronouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pronouns of each person per thousand words."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "toks").where(F.size("toks") > 0)
+    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks").where(F.size("toks") > 0)
     return a.select("doc_id", *(r6(1000.0 * count_words(F.col("toks"), v) / F.size("toks")).alias(f"{k}_rate") for k, v in PRONOUNS.items()))
 
 
@@ -126,7 +126,7 @@ FROM c WHERE c >= 2 GROUP BY doc_id, n""",
 )
 def style_ngram_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated runs of three to six words: kinds, excess and commonest, per ten thousand words."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "toks")
+    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks")
     a = a.withColumn("n", F.explode(F.array(*map(F.lit, (3, 4, 5, 6))))).where(F.size("toks") >= F.col("n"))
     grams = F.transform(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("toks", i, F.col("n")), " ")))
     g = a.select("doc_id", "n", F.size("toks").alias("n_toks"), F.explode(grams).alias("gram")).groupBy("doc_id", "n", "n_toks", "gram").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
@@ -142,7 +142,7 @@ SELECT doc_id, round(100.0 * sum(CASE WHEN c > 1 THEN c ELSE 0 END) / any_value(
 @query("style_sentence_openings", OPEN_SQL)
 def style_sentence_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of sentences whose first three words open another too, and the entropy of openings in bits."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", F.explode(F.transform("ss", lambda s: F.array_join(F.slice(T.tokens(s), 1, 3), " "))).alias("opening"))
+    a = arrays(docs(spark, sf_dir), want="ss").select("doc_id", F.explode(F.transform("ss", lambda s: F.array_join(F.slice(T.tokens(s), 1, 3), " "))).alias("opening"))
     c = a.groupBy("doc_id", "opening").agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("doc_id")))
     p = F.col("c") / F.col("n")
     return c.groupBy("doc_id").agg(r6(100.0 * F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.first("n")).alias("repetition"), r6(-F.sum(p * F.log2(p))).alias("entropy"))
@@ -157,7 +157,7 @@ SELECT doc_id, count(*) AS n_sentences, round(100.0 * count(c) / count(*), 6) AS
 def style_connective_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that open on a connective, per hundred."""
     one, two = lits([c for c in CONNECTIVES if " " not in c]), lits([c for c in CONNECTIVES if " " in c])
-    a = arrays(docs(spark, sf_dir)).select("doc_id", F.transform("ss", lambda s: F.slice(T.tokens(s), 1, 2)).alias("fs")).where(F.size("fs") > 0)
+    a = arrays(docs(spark, sf_dir), want="ss").select("doc_id", F.transform("ss", lambda s: F.slice(T.tokens(s), 1, 2)).alias("fs")).where(F.size("fs") > 0)
     pair = lambda f: F.array_join(f, " ")
     hits = F.filter(F.transform("fs", lambda f: F.when(F.array_contains(one, F.get(f, 0)), F.get(f, 0)).when(F.array_contains(two, pair(f)), pair(f))), lambda x: x.isNotNull())
     n = F.size("fs")
@@ -184,7 +184,7 @@ def style_local_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     "style_mattr",
     f"""WITH {TOK}, l AS (SELECT doc_id, list(token ORDER BY i) AS t FROM tok GROUP BY doc_id),
 w AS (SELECT doc_id, CASE WHEN len(t) <= 100 THEN [len(list_distinct(t)) / len(t)] ELSE list_transform(range(len(t) - 99), lambda k: len(list_distinct(t[k + 1 : k + 100])) / 100) END AS r FROM l)
-SELECT doc_id, round(100 * list_avg(r), 6) AS mattr FROM w""",
+SELECT doc_id, round(100 * list_avg(r), 9) AS mattr FROM w""",
 )
 def style_mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean type-token ratio of sliding windows of a hundred words, by counting for each word the windows that it opens a type in."""
@@ -193,7 +193,7 @@ def style_mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.least(F.lit(100), F.col("n"))
     # windows start at 0 .. n - w; the word counts where it stands in the window and its last occurrence doesn't
     windows = F.greatest(F.lit(0), F.least("i", F.col("n") - w) - F.greatest(F.coalesce(F.col("p") + 1, F.lit(0)), F.col("i") - w + 1, F.lit(0)) + 1)
-    return t.groupBy("doc_id").agg(r6(100.0 * F.sum(windows) / F.first((F.col("n") - w + 1) * w)).alias("mattr"))
+    return t.groupBy("doc_id").agg(F.round(100.0 * F.sum(windows) / F.first((F.col("n") - w + 1) * w), 9).alias("mattr"))
 
 
 def _marks_sql() -> str:
@@ -211,9 +211,10 @@ SELECT doc_id, mark, count(*) AS n, round(1000.0 * count(*) / any_value(w), 6) A
 )
 def style_punctuation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each kind of mark, counted and per thousand words."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "body", F.size("ws").alias("w")).where("w > 0")
-    m = a.select("doc_id", "w", F.explode(F.regexp_extract_all("body", F.lit(T.MARKS_ANY), F.lit(0))).alias("m")).select("doc_id", "w", T.mark_name(F.col("m")).alias("mark"))
-    return m.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"), r6(1000.0 * F.count(F.lit(1)) / F.first("w")).alias("per_1000_words"))
+    a = arrays(docs(spark, sf_dir), want="ws").select("doc_id", "body", F.size("ws").alias("w")).where("w > 0")
+    # counted as they are spelled, then named: each spelling of a document is classified once
+    m = a.select("doc_id", "w", F.explode(F.regexp_extract_all("body", F.lit(T.MARKS_ANY), F.lit(0))).alias("m")).groupBy("doc_id", "w", "m").agg(F.count(F.lit(1)).alias("c"))
+    return m.groupBy("doc_id", "w", T.mark_name(F.col("m")).alias("mark")).agg(F.sum("c").alias("n")).select("doc_id", "mark", "n", r6(1000.0 * F.col("n") / F.col("w")).alias("per_1000_words"))
 
 
 @query(
@@ -222,8 +223,8 @@ def style_punctuation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, round(-sum(c / n * log2(c / n)) + 0.0, 6) AS mark_entropy, round(CASE WHEN count(*) > 1 THEN -sum(c / n * log2(c / n)) / log2(count(*)) ELSE 0 END + 0.0, 6) AS normalized, round(100.0 * max(c) / any_value(n), 6) AS top_mark_share FROM c GROUP BY doc_id""",
 )
 def style_punctuation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = arrays(docs(spark, sf_dir)).select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(T.MARKS_ANY), F.lit(0))).alias("m"))
-    c = a.groupBy("doc_id", T.mark_name(F.col("m")).alias("mark")).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("doc_id")))
+    a = arrays(docs(spark, sf_dir), want="").select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(T.MARKS_ANY), F.lit(0))).alias("m"))
+    c = a.groupBy("doc_id", "m").agg(F.count(F.lit(1)).alias("k")).groupBy("doc_id", T.mark_name(F.col("m")).alias("mark")).agg(F.sum("k").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("doc_id")))
     p = F.col("c") / F.col("n")
     h = -F.sum(p * F.log2(p))
     return c.groupBy("doc_id").agg(r6(h).alias("mark_entropy"), r6(F.when(F.count(F.lit(1)) > 1, h / F.log2(F.count(F.lit(1)))).otherwise(0.0)).alias("normalized"), r6(100.0 * F.max("c") / F.first("n")).alias("top_mark_share"))
@@ -243,13 +244,12 @@ def style_function_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def function_word_rates(documents: DataFrame, *more: str, least: int = 200) -> DataFrame:
     """(doc_id, more, token, rate): per thousand words, for each function word, of documents with enough words."""
-    a = arrays(documents, *more).select("doc_id", *more, "toks").where(F.size("toks") >= least)
+    a = arrays(documents, *more, want="toks").select("doc_id", *more, "toks").where(F.size("toks") >= least)
     held = lits(FUNCTION_WORDS)
-    n = F.size("toks")
-    kept = F.filter("toks", lambda t: F.array_contains(held, t))
-    a = a.select("doc_id", *more, n.alias("n"), kept.alias("kept"))
-    rates = F.transform(held, lambda w: F.struct(w.alias("token"), (1000.0 * F.size(F.filter("kept", lambda t: t == w)) / F.col("n")).alias("rate")))
-    return a.select("doc_id", *more, F.inline(rates))
+    # every word once more than it stands there, so that words that don't occur have a row as well
+    kept = F.concat(F.filter("toks", lambda t: t.isin(FUNCTION_WORDS)), held)
+    a = a.select("doc_id", *more, F.size("toks").alias("n"), F.explode(kept).alias("token"))
+    return a.groupBy("doc_id", *more, "n", "token").agg(F.count(F.lit(1)).alias("c")).select("doc_id", *more, "token", (1000.0 * (F.col("c") - 1) / F.col("n")).alias("rate"))
 
 
 def function_word_z(documents: DataFrame, *more: str) -> DataFrame:
@@ -270,7 +270,7 @@ def style_constructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lits(FUNCTION_WORDS)
     parts = lambda s: F.regexp_extract_all(s, F.lit(r"[A-Za-z]+|'[A-Za-z]+|[^\sA-Za-z0-9']"), F.lit(0))
     skeleton = lambda s: F.array_join(F.transform(parts(s), lambda x: F.when(F.array_contains(held, F.lower(x)), F.lower(x)).when(x.rlike("^'?[A-Za-z]"), "_").otherwise(x)), " ")
-    k = arrays(docs(spark, sf_dir)).select("doc_id", F.explode(F.transform("ss", skeleton)).alias("skeleton"))
+    k = arrays(docs(spark, sf_dir), want="ss").select("doc_id", F.explode(F.transform("ss", skeleton)).alias("skeleton"))
     c = k.groupBy("doc_id", F.xxhash64("skeleton").alias("h")).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("doc_id")))
     p = F.col("c") / F.col("n")
     return c.groupBy("doc_id").agg(r6(100.0 * F.sum(F.when(F.col("c") >= 3, F.col("c")).otherwise(0)) / F.first("n")).alias("repeated_share"), r6(-F.sum(p * F.log2(p))).alias("entropy"), F.max("c").alias("top_count"))
@@ -284,7 +284,7 @@ SELECT doc_id, channel, len(ws) AS n_words, round(list_avg(list_transform(ws, la
 )
 def style_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogue and narration apart: words, word length, question and exclamation marks."""
-    a = arrays(docs(spark, sf_dir)).select("doc_id", "body")
+    a = arrays(docs(spark, sf_dir), want="").select("doc_id", "body")
     c = a.select("doc_id", F.inline(F.array(F.struct(F.lit("dialogue").alias("channel"), F.array_join(F.regexp_extract_all("body", F.lit(T.QUOTED), F.lit(0)), "\n").alias("t")), F.struct(F.lit("narration").alias("channel"), T.narration(F.col("body")).alias("t")))))
     c = c.withColumn("ws", T.words(F.col("t"))).where(F.size("ws") > 0)
     n = F.size("ws")

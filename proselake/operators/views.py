@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import text as T
 from proselake.plans.registry import query, r6
-from proselake.session import table
+from proselake.session import spread, table
 
 
 def bodies(documents: DataFrame, *more: str) -> DataFrame:
@@ -72,7 +72,7 @@ sent AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY p, k)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("canon_body", f"WITH {BODY} SELECT doc_id, body FROM b")

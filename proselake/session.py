@@ -76,3 +76,12 @@ def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of one small file would keep all but one idle.
+
+    Tables of many files have more partitions than that and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -1,0 +1 @@
+"""Streams of findings and of ordered values."""
