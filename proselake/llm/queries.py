@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselake.llm import bpe, lookalike, markup, mixing, percentiles, reading, repeated_lines, repetition, residue, sentences
-from proselake.session import materialize, prepare, table
+from proselake.session import materialize, prepare, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 P6_KEYS = ["metric_id", "corpus"]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(prepare(spark), sf_dir, "documents")
+    return spread(table(prepare(spark), sf_dir, "documents"))
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
