@@ -136,9 +136,17 @@ SILENT_ED = r"^(?!.*[^aeiouylr][lr]ed$).{1,}[^aeiouytd]ed$"
 SILENT_ES = r"^(?!.*(?:ses|xes|zes|ches|shes|ces|ges)$)(?!.*[^aeiouy]les$).{1,}[^aeiouy]es$"
 
 
+def spoken_form(word: Column) -> Column:
+    """A word as its syllables are counted: lower case, no outer apostrophes, no possessive s."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.translate(word, "’", "'")), "^'+|'+$", ""), "'s$", "")
+
+
 def syllables(word: Column) -> Column:
     """Syllables of one word from its spelling: vowel groups and hiatus, less silent endings; at least one."""
-    w = F.regexp_replace(F.regexp_replace(F.lower(F.translate(word, "’", "'")), "^'+|'+$", ""), "'s$", "")
+    return syllables_of_form(spoken_form(word))
+
+
+def syllables_of_form(w: Column) -> Column:
     n = F.size(F.regexp_extract_all(w, F.lit(VOWELS), F.lit(0))) + F.size(F.regexp_extract_all(w, F.lit(HIATUS), F.lit(0))) + F.when(w.rlike("[sdt]n't$"), 1).otherwise(0)
     silent = (
         F.when(w.rlike(SILENT_E), F.when(~(w.rlike(SOUNDED_E) & (F.length(w) > 2)), 1).otherwise(0))

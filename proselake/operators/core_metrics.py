@@ -148,7 +148,8 @@ def q_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def syllable_table(counts: DataFrame) -> DataFrame:
     """(token, sy): syllables of each distinct token of a table; the spelling rules run once a token, not once an occurrence."""
-    return counts.select("token").distinct().select("token", T.syllables(F.col("token")).alias("sy"))
+    forms = held(counts.select("token").distinct().select("token", T.spoken_form(F.col("token")).alias("form")))
+    return held(forms.select("token", T.syllables_of_form(F.col("form")).alias("sy")))
 
 
 def readability(documents: DataFrame) -> DataFrame:
