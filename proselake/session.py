@@ -55,6 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def app_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/proselake-{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results not yet written can't be computed after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(app_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -62,7 +72,7 @@ def materialize(df: DataFrame) -> DataFrame:
     than RDD checkpoints; they live as long as the shared folder's clean-up keeps them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/proselake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{app_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
