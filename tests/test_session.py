@@ -6,7 +6,7 @@ from proselake import session as S
 def test_materialize_and_drop(spark):
     df = spark.range(10).withColumnRenamed("id", "x")
     kept = S.materialize(df)
-    assert kept.count() == 10 and kept.schema == df.schema
+    assert kept.count() == 10 and kept.dtypes == df.dtypes
     folder = S.app_folder(spark).replace("file://", "")
     assert os.path.isdir(folder)
     S.drop_materialized(spark)
