@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.session import materialize
+from proselake.session import broadcast_if_small, materialize
 
 WORDS, LETTERS = 8, 15
 #: Concentration steps; rows below which a group is judged by the corpus' estimate alone; least standard deviation.
 STEPS, LEAST_ROWS, FLOOR = 3, 30, 0.04
+#: Groups up to which their estimates (a dozen numbers each) are broadcast.
+MOST_BROADCAST = 500_000
 # 97.5 % point of chi-square with 3 degrees of freedom; consistency factor of the covariance of the nearest half.
 CUT, HALF_FACTOR = 9.348, 2.456
 #: Scripts written without spaces between words.
@@ -149,15 +151,21 @@ def distance() -> Column:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """grp + (m0.., i00..): minimum-covariance-determinant centre and inverse covariance of each group."""
+    """grp + (m0.., i00..): minimum-covariance-determinant centre and inverse covariance of each group.
+
+    One group may hold most rows, so tables of estimates are broadcast while their counted number of rows allows it;
+    beyond that Spark's adaptive join splits the hot group.
+    """
+    groups = rows.select("grp").distinct().count()
+    small = F.broadcast if groups <= MOST_BROADCAST else lambda d: d
     med = rows.groupBy("grp").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m{j}") for j, f in enumerate(FEATURES)))
-    mad = rows.join(med, "grp").groupBy("grp", "m0", "m1", "m2").agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m{j}")), 0.5, 1000).alias(f"d{j}") for j, f in enumerate(FEATURES)))
+    mad = rows.join(small(med), "grp").groupBy("grp", "m0", "m1", "m2").agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m{j}")), 0.5, 1000).alias(f"d{j}") for j, f in enumerate(FEATURES)))
     var = {(j, k): (F.pow(F.col(f"d{j}") * 1.4826, 2) if j == k else F.lit(0.0)) for j in range(3) for k in range(j, 3)}
     est = materialize(mad.select("grp", *_estimate([F.col(f"m{j}") for j in range(3)], var, 1.0)))
     for _ in range(STEPS):
-        far = rows.join(est, "grp").withColumn("d2", distance())
+        far = rows.join(small(est), "grp").withColumn("d2", distance())
         half = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("h"))
-        near = far.select("grp", "d2", *FEATURES).join(half, "grp").where("d2 <= h")
+        near = far.select("grp", "d2", *FEATURES).join(small(half), "grp").where("d2 <= h")
         sums = near.groupBy("grp").agg(*(F.avg(f).alias(f"a{j}") for j, f in enumerate(FEATURES)), *(F.covar_pop(FEATURES[j], FEATURES[k]).alias(f"c{j}{k}") for j in range(3) for k in range(j, 3)))
         est = materialize(sums.select("grp", *_estimate([F.col(f"a{j}") for j in range(3)], {(j, k): F.col(f"c{j}{k}") for j in range(3) for k in range(j, 3)}, HALF_FACTOR)))
     return est
@@ -172,11 +180,11 @@ def repetition(documents: DataFrame) -> DataFrame:
     """
     own = materialize(repetition_statistics(documents.select("doc_id", "lang", "source", "text")))
     sizes = own.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LEAST_ROWS)
-    both = own.join(sizes.select("grp"), "grp", "left_semi").unionByName(own.withColumn("grp", F.lit("*")))
+    both = own.join(broadcast_if_small(sizes.select("grp"), MOST_BROADCAST), "grp", "left_semi").unionByName(own.withColumn("grp", F.lit("*")))
     est = robust_estimates(both.select("grp", *FEATURES))
     names = [c for c in est.columns if c != "grp"]
     corpus = est.where("grp = '*'").drop("grp")
-    d = own.join(est.withColumn("known", F.lit(True)), "grp", "left").withColumn("d_own", F.when(F.col("known"), distance())).withColumn("up_own", F.col("share") > F.col("m0")).drop(*names, "known")
+    d = own.join(broadcast_if_small(est.withColumn("known", F.lit(True)), MOST_BROADCAST), "grp", "left").withColumn("d_own", F.when(F.col("known"), distance())).withColumn("up_own", F.col("share") > F.col("m0")).drop(*names, "known")
     d = d.join(F.broadcast(corpus), how="cross").withColumn("d_all", distance()).withColumn("up_all", F.col("share") > F.col("m0"))
     out = (F.coalesce(F.col("d_own") > CUT, F.lit(False)) & F.coalesce("up_own", F.lit(False))) | ((F.col("d_all") > CUT) & F.col("up_all"))
     return d.select("doc_id", *FEATURES, F.greatest("d_own", "d_all").alias("d2"), out.alias("outlier"))
