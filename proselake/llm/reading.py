@@ -12,6 +12,7 @@ these, a few numbers each, are what the driver collects. Every document is score
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,11 +46,11 @@ def features(text: str | None) -> list[float] | None:
     n = np.array(sents or [len(words)], float)
     # the mean over words of their sentence's length: long sentences count as long as they are
     weighted = float((n * n).sum() / n.sum())
-    some = words[:: max(1, len(words) // 400)]
-    syllables = sum(max(1, len(_VOWELS.findall(w))) for w in some) / len(some)
+    spellings = Counter(words)
+    syllables = sum(max(1, len(_VOWELS.findall(w))) * k for w, k in spellings.items()) / len(words)
     return [
         float(np.log(weighted)), float(np.log1p(len(_CLAUSE.findall(plain)) / len(n))), float(lengths.mean()), float((lengths >= 7).mean()), float((lengths >= 10).mean()),
-        float((lengths >= 13).mean()), len(set(words)) / len(words) ** 0.8, syllables,
+        float((lengths >= 13).mean()), len(spellings) / len(words) ** 0.8, syllables,
     ]
 
 

@@ -36,3 +36,9 @@ def test_odd_cases(docs_of, spark):
 @pytest.mark.parametrize("text", [None, "", "  ", "!!!"])
 def test_no_words(text):
     assert R.features(text) is None
+
+
+def test_syllables_of_long_texts_are_those_of_all_words():
+    words = ["cat", "banana"] * 400  # every second word would be left out by a stride of two
+    assert R.features(" ".join(words))[R.FEATURES.index("syllables")] == pytest.approx(2)
+    assert R.features("cat banana")[R.FEATURES.index("syllables")] == pytest.approx(2)
