@@ -11,14 +11,16 @@ candidates of a paragraph give posteriors, with a factor against sentences witho
 is a boundary. Signs that leave no choice (blank lines, ideographic full stops, a lower-case word or a comma after a
 closing quote, Thai spaces) are certain events of the same chain.
 
-The model keeps the VOCABULARY most frequent tokens of each table; rarer ones share the statistics of their shape.
+The counts are exact for every token. The VOCABULARY most frequent tokens of each table go to every task; where there
+are more, each text gets the counts of its rarer tokens by a join.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 
 from proselake.session import materialize
 
-#: Tokens kept of each table of the model.
+#: Tokens of each table of the model that tasks hold in memory; the others' counts are joined to the texts that need them.
 VOCABULARY = 100_000
+MORE = "array<struct<part:string,token:string,n:bigint>>"
 #: Occurrences that the prior of a token's shape counts for.
 PRIOR_WEIGHT = 12.0
 # Abbreviations whose prior is not to end a sentence (lower case, without the last period).
@@ -92,7 +95,7 @@ def prior(token: str, raw: str) -> float:
 
 
 def count_texts(texts: list[str | None]) -> Counter:
-    """The model's counts: of (table, token) with tables all, start, dot (before a period), stop (before a period and a blank line), and rate (0: periods before lower case excluded, 1: at a blank line)."""
+    """The model's counts: of (table, token) with tables all and start (of tokens that begin with a capital, as no others are asked for), dot (before a period), stop (before a period and a blank line), and sum (starts, tokens; dot and stop of whole words)."""
     n: Counter = Counter()
     everything: Counter = Counter()
     for t in texts:
@@ -103,8 +106,7 @@ def count_texts(texts: list[str | None]) -> Counter:
             if not tokens:
                 continue
             everything.update(tokens)
-            n["start", _core(tokens[0])] += 1
-            n["start", "<sum>"] += 1
+            _start(n, tokens[0])
             last = len(tokens) - 1
             for i, w in enumerate(tokens):
                 end = w[-1]
@@ -113,46 +115,77 @@ def count_texts(texts: list[str | None]) -> Counter:
                     if not w or w[-1] != "." or w.endswith(".."):
                         continue
                     k = _shape(_core(w))
-                    n["dot", k] += 1
-                    if i == last:
-                        n["stop", k] += 1
+                    whole = k not in ABBREVIATIONS and "." not in k and sum(map(str.isalpha, k)) >= 4
+                    for part in ("dot", "stop") if i == last else ("dot",):
+                        n[part, k] += 1
+                        n["sum", part] += whole
                 elif end in "!?" and i < last:
-                    n["start", _core(tokens[i + 1])] += 1
-                    n["start", "<sum>"] += 1
+                    _start(n, tokens[i + 1])
     for w, c in everything.items():
-        if (k := _core(w)) and k[0].isalpha() and not k[0].islower():
+        if (k := _core(w))[:1].isupper():
             n["all", k] += c
-    n["all", "<sum>"] += sum(everything.values())
+    n["sum", "tokens"] += sum(everything.values())
     return n
 
 
+def _start(n: Counter, token: str) -> None:
+    if (k := _core(token))[:1].isupper():
+        n["start", k] += 1
+    n["sum", "starts"] += 1
+
+
 class Model:
-    def __init__(self, counts: dict[tuple[str, str], int]) -> None:
-        self.dot = {k: v for (t, k), v in counts.items() if t == "dot"}
-        self.stop = {k: v for (t, k), v in counts.items() if t == "stop"}
-        self.start = {k: v for (t, k), v in counts.items() if t == "start" and k != "<sum>"}
-        self.all = {k: v for (t, k), v in counts.items() if t == "all" and k != "<sum>"}
-        self.starts = counts.get(("start", "<sum>"), 0) + 1.0
-        self.tokens = counts.get(("all", "<sum>"), 0) + 1.0
-        whole = [k for k in self.dot if k not in ABBREVIATIONS and "." not in k and sum(map(str.isalpha, k)) >= 4]
-        seen = sum(self.dot[k] for k in whole)
-        self.rate = min(0.9, max(0.02, (sum(self.stop.get(k, 0) for k in whole) + 1) / (seen + 5)))
+    """Counts by (table, token). rest: (part, token, n) of the tokens that counts lacks; None if it lacks none."""
+
+    def __init__(self, counts: dict[tuple[str, str], int], rest: DataFrame | None = None) -> None:
+        self.counts, self.rest = counts, rest
+        self.starts = counts.get(("sum", "starts"), 0) + 1.0
+        self.tokens = counts.get(("sum", "tokens"), 0) + 1.0
+        self.rate = min(0.9, max(0.02, (counts.get(("sum", "stop"), 0) + 1) / (counts.get(("sum", "dot"), 0) + 5)))
+
+    def of(self, part: str, token: str) -> int:
+        return self.counts.get((part, token), 0)
+
+    def held(self) -> Model:
+        """The model without the table of the rest, for tasks."""
+        m = copy.copy(self)
+        m.rest = None
+        return m
+
+    def plus(self, more: dict[tuple[str, str], int]) -> Model:
+        """The model of a text, with the counts of its tokens that this one lacks."""
+        m = copy.copy(self)
+        m.counts = ChainMap(more, self.counts)
+        return m
 
     def ends(self, raw: str) -> float:
         """Probability that a token with a period ends a sentence."""
         k = _shape(raw)
-        n, s = self.dot.get(k, 0), self.stop.get(k, 0)
+        n, s = self.of("dot", k), self.of("stop", k)
         e = (s + PRIOR_WEIGHT * prior(k, raw) * self.rate) / ((n + PRIOR_WEIGHT) * self.rate)
         return min(0.995, max(0.005, e))
 
     def follows(self, word: str) -> float:
         """Ratio of a token's probability after a boundary and inside a sentence."""
-        s, a = self.start.get(word, 0), self.all.get(word, 0)
+        s, a = self.of("start", word), self.of("all", word)
         inside = max(0.0, a - s / max(self.rate, 0.05))
         r = ((s + 0.5) / self.starts) / ((inside + 0.5) / self.tokens)
         return min(200.0, max(0.05, r))
 
 
+class Asked(Model):
+    """Keeps what a text asks of a model that the model lacks; what is asked doesn't depend on the answers."""
+
+    def __init__(self, model: Model) -> None:
+        self.__dict__.update(model.__dict__)
+        self.lacks: set[tuple[str, str]] = set()
+
+    def of(self, part: str, token: str) -> int:
+        if (part, token) not in self.counts:
+            self.lacks.add((part, token))
+        return super().of(part, token)
+
+
 def _simple(text: str) -> tuple[str, list[int] | None]:
     """The text with full-width forms as plain ones and invisible characters gone, and the place of each of its characters (None: the same)."""
     plain = text.translate({k: v for k, v in WIDE.items() if k not in KEEP_WIDE}) if any("！" <= c <= "～" for c in text) else text
@@ -294,7 +327,7 @@ def sentence_ends(text: str | None, model: Model) -> list[int]:
 
 
 def learn(documents: DataFrame) -> Model:
-    """The model from all texts given. Collected: at most VOCABULARY tokens of each of four tables."""
+    """The model from all texts given. Collected: at most VOCABULARY tokens of each of four tables; the others stay a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -306,21 +339,23 @@ def learn(documents: DataFrame) -> Model:
         yield _rows(n)
 
     counts = documents.select("text").mapInArrow(run, "part string, token string, n bigint").groupBy("part", "token").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where("n > 1"))
-    # how many tokens have counts of each size gives the least count to keep, without sorting any table
+    counts = materialize(counts)
+    # how many tokens have counts of each size gives the least count to collect, without sorting any table
     size = F.floor(F.log2("n") * 16).cast("int").alias("size")
     least: dict[str, int] = {}
+    whole = True
     for part, rows in groupby(counts.groupBy("part", size).count().orderBy("part", F.desc("size")).collect(), key=lambda r: r["part"]):
         total = 0
         for r in rows:
             total += r["count"]
-            if total > VOCABULARY:
+            if total > VOCABULARY and part != "sum":
+                whole = False
                 break
             least[part] = r["size"]
     keep = F.lit(False)
     for part, at in sorted(least.items()):
         keep = keep | ((F.col("part") == part) & (size >= at))
-    return Model({(r["part"], r["token"]): r["n"] for r in counts.where(keep).select("part", "token", "n").toArrow().to_pylist()})
+    return Model({(r["part"], r["token"]): r["n"] for r in counts.where(keep).select("part", "token", "n").toArrow().to_pylist()}, None if whole else counts.where(~keep))
 
 
 def _rows(n: Counter) -> pa.RecordBatch:
@@ -328,6 +363,23 @@ def _rows(n: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["part", "token", "n"])
 
 
+def _rarer(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
+    """(h, more): the counts in rest of the tokens that the texts of a hash ask for and the model lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                asked = Asked(model)
+                sentence_ends(t, asked)
+                out += [(h, *x) for x in asked.lacks]
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["h", "part", "token"])
+
+    lacks = docs.select("h", "text").mapInArrow(run, "h string, part string, token string").distinct()
+    return lacks.join(rest, ["part", "token"]).groupBy("h").agg(F.collect_list(F.struct("part", "token", "n")).alias("more"))
+
+
 def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, sent_no, start_char, end_char): the sentence units of each text with their places.
 
@@ -336,13 +388,19 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """
     docs = documents.select("doc_id", "text")
     model = model or learn(docs)
+    rest, model = model.rest, model.held()
+    if rest is None:
+        docs = docs.withColumn("more", F.lit(None).cast(MORE))
+    else:
+        docs = docs.where("text is not null").withColumn("h", F.md5("text"))
+        docs = docs.join(_rarer(docs, model, rest), "h", "left").select("doc_id", "text", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, nos, starts, ends = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t, more in zip(*(c.to_pylist() for c in b.columns)):
                 a = 0
-                for k, e in enumerate(sentence_ends(t, model)):
+                for k, e in enumerate(sentence_ends(t, model.plus({(m["part"], m["token"]): m["n"] for m in more}) if more else model)):
                     piece = t[a:e]
                     ids.append(i), nos.append(k), starts.append(a + len(piece) - len(piece.lstrip())), ends.append(e)
                     a = e

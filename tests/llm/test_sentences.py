@@ -73,3 +73,15 @@ def test_learned_abbreviation(docs_of):
     assert units("They saw Brig. Anders and left. The day ended.", m) == ["They saw Brig. Anders and left.", "The day ended."]
     got = S.sentences(docs_of([(1, None), (2, "One. Two.")]), m).orderBy("end_char").collect()
     assert [(r.doc_id, r.sent_no, r.start_char, r.end_char) for r in got] == [(2, 0, 0, 4), (2, 1, 5, 9)]
+
+
+def test_vocabulary_beyond_memory_is_exact(docs_of, monkeypatch):
+    """Tokens that tasks don't hold have their own counts, so that units don't depend on how many are held."""
+    names = " and ".join(f"{n} and {n}" for n in ("Anna", "Otto", "Emil", "Hugo"))
+    rows = [(i, f"we saw Vale and {names} there.") for i in range(60)] + [(100 + i, "Vale left us again.") for i in range(5)]
+    rows += [(999, "they met Mr. Vale there."), (999, "they met Mr. Vale there."), (998, None), (997, "")]
+    docs = docs_of(rows)
+    want = sorted(map(tuple, S.sentences(docs).collect()))
+    assert want[-2:] == [(999, 0, 0, 24)] * 2
+    monkeypatch.setattr(S, "VOCABULARY", 4)  # start then holds Vale, all doesn't
+    assert sorted(map(tuple, S.sentences(docs).collect())) == want
