@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from proselake.plans.registry import query, r6
 from proselake.session import table
 
 KEYS = ["doc_id", "seq_name"]
-#: Points beyond which the quadratic measures take evenly spaced ones.
-MOST_POINTS = 1500
+#: Distances held at once by the quadratic measures, which go over all pairs of points in blocks of so many.
+MOST_PAIRS = 1 << 21
 
 
 def clean(seq: DataFrame) -> DataFrame:
@@ -181,15 +181,19 @@ def dfa(x: np.ndarray) -> float:
 
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     """-ln of the chance that runs alike for m points stay alike for one more."""
-    x = x[:: max(1, -(-len(x) // MOST_POINTS))]
     tol, n = r * x.std(), len(x)
     if n < m + 2 or tol <= 0:
         return np.nan
     count = []
     for k in (m, m + 1):
         e = np.lib.stride_tricks.sliding_window_view(x, k)[: n - m]
-        d = np.abs(e[:, None, :] - e[None, :, :]).max(2) <= tol
-        count.append((d.sum() - len(e)) / 2)
+        rows, alike = max(1, MOST_PAIRS // len(e)), 0
+        for a in range(0, len(e), rows):
+            near = np.abs(e[a : a + rows, None, 0] - e[None, :, 0]) <= tol
+            for j in range(1, k):
+                near &= np.abs(e[a : a + rows, None, j] - e[None, :, j]) <= tol
+            alike += int(near.sum())
+        count.append((alike - len(e)) / 2)
     return float(-np.log(count[1] / count[0])) if count[0] and count[1] else np.nan
 
 
@@ -206,21 +210,55 @@ def lz_complexity(x: np.ndarray) -> float:
     return float(phrases * np.log2(len(s)) / len(s)) if len(s) > 1 else np.nan
 
 
+def _kth(parts: Callable[[], Iterator[np.ndarray]], k: int) -> float:
+    """The k-th smallest of the numbers from 0 that parts gives anew each time: 16 bits a pass, as their bits are in the same order as they."""
+    prefix, below = 0, 0
+    for shift in (48, 32, 16, 0):
+        held, n = np.zeros(1 << 16, np.int64), 0
+        for d in parts():
+            bits = (d + 0.0).view(np.int64)
+            here = bits[bits >> shift >> 16 == prefix] >> shift & 0xFFFF if shift < 48 else bits >> 48
+            held += np.bincount(here, minlength=1 << 16)
+        upto = below + np.cumsum(held)
+        digit = int(np.searchsorted(upto, k, "right"))
+        prefix, below, n = prefix << 16 | digit, int(upto[digit] - held[digit]), int(held[digit])
+        if shift and n <= MOST_PAIRS:
+            left = np.concatenate([d[(d + 0.0).view(np.int64) >> shift == prefix] for d in parts()])
+            return float(np.partition(left, k - below)[k - below])
+    return float(np.array([prefix], np.int64).view(float)[0])
+
+
+def _quantile(parts: Callable[[], Iterator[np.ndarray]], n: int, q: float) -> float:
+    """np.quantile of the n numbers from 0 that parts gives anew each time, of which at most MOST_PAIRS are held at once."""
+    if n <= MOST_PAIRS:
+        return float(np.quantile(np.concatenate(list(parts())), q))
+    k = int(q * (n - 1))
+    low = _kth(parts, k)
+    upto = sum(int((d <= low).sum()) for d in parts())
+    high = low if upto > k + 1 else min(float(d[d > low].min(initial=np.inf)) for d in parts())
+    return float(np.quantile([low, high], q * (n - 1) - k))
+
+
 def recurrence(x: np.ndarray, rate: float = 0.05) -> dict[str, float]:
     """Recurrence quantification of the sequence embedded in two dimensions, at the threshold that gives the rate."""
     names = ("rqa_determinism", "rqa_laminarity", "rqa_longest_diagonal")
-    x = x[:: max(1, -(-len(x) // MOST_POINTS))]
     if len(x) < 12 or x.std() == 0:
         return dict.fromkeys(names, np.nan)
-    e = np.stack([x[:-1], x[1:]], 1)
-    d = np.sqrt(((e[:, None] - e[None]) ** 2).sum(2))
-    r = d <= np.quantile(d[np.triu_indices(len(d), 2)], rate)
+    a, b, n = x[:-1], x[1:], len(x) - 1
+    # one diagonal or column of the matrix of distances at a time
+    diagonals = lambda: (np.sqrt((a[k:] - a[:-k]) ** 2 + (b[k:] - b[:-k]) ** 2) for k in range(2, n))
+    columns = lambda: (np.sqrt((a[: k - 1] - a[k]) ** 2 + (b[: k - 1] - b[k]) ** 2) for k in range(2, n))
+    most = _quantile(diagonals, (n - 1) * (n - 2) // 2, rate)
     runs = lambda v: np.diff(np.flatnonzero(np.diff(np.r_[0, v.astype(int), 0])).reshape(-1, 2), axis=1).ravel()
-    diag = np.concatenate([runs(np.diagonal(r, k)) for k in range(2, len(r))] or [np.zeros(0, int)])
-    upper = np.triu(r, 2)
-    vert = np.concatenate([runs(c) for c in upper.T])
-    total = max(1, int(upper.sum()))
-    return {"rqa_determinism": float(diag[diag >= 2].sum() / total), "rqa_laminarity": float(vert[vert >= 2].sum() / total), "rqa_longest_diagonal": float(diag.max(initial=0))}
+    total = straight = upright = longest = 0
+    for d in diagonals():
+        w = runs(d <= most)
+        total, straight, longest = total + int(w.sum()), straight + int(w[w >= 2].sum()), max(longest, int(w.max(initial=0)))
+    for d in columns():
+        w = runs(d <= most)
+        upright += int(w[w >= 2].sum())
+    total = max(1, total)
+    return {"rqa_determinism": straight / total, "rqa_laminarity": upright / total, "rqa_longest_diagonal": float(longest)}
 
 
 def higuchi(x: np.ndarray, kmax: int = 8) -> float:

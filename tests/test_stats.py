@@ -116,3 +116,24 @@ def test_page_hinkley(spark):
     seq = S.clean(spark.createDataFrame([*rows, (1, "s", 3, None), (1, "s", 4, float("nan")), (1, "s", 5, 0.0)], "doc_id bigint, seq_name string, idx int, value double"))
     got = {r.doc_id: r.events for r in S.page_hinkley(seq).collect()}
     assert got[1] >= 1 and got[2] == 0
+
+
+def test_long_sequences_use_all_points(monkeypatch):
+    """Against the whole matrices of distances, beyond 1500 points; also with few distances held at once."""
+    rng = np.random.default_rng(3)
+    for x in (np.sin(np.arange(1700) / 5) + rng.normal(0, 0.3, 1700), rng.integers(0, 4, 1600).astype(float)):
+        near = [np.abs(x[: len(x) - 2, None] - x[None, : len(x) - 2]) <= 0.2 * x.std()]
+        for j in (1, 2):
+            near.append(near[-1] & (np.abs(x[j : len(x) - 2 + j, None] - x[None, j : len(x) - 2 + j]) <= 0.2 * x.std()))
+        pairs = [(v.sum() - len(v)) / 2 for v in near]
+        d = np.sqrt((x[:-1, None] - x[None, :-1]) ** 2 + (x[1:, None] - x[None, 1:]) ** 2)
+        r = np.triu(d <= np.quantile(d[np.triu_indices(len(d), 2)], 0.05), 2)
+        # points of runs of two or more: those with a neighbour along the run
+        p = np.pad(r, 1)
+        diag, vert = p[:-2, :-2] | p[2:, 2:], p[:-2, 1:-1] | p[2:, 1:-1]
+        want = {"rqa_determinism": (r & diag).sum() / r.sum(), "rqa_laminarity": (r & vert).sum() / r.sum()}
+        for most in (1 << 21, 5000):
+            monkeypatch.setattr(S, "MOST_PAIRS", most, raising=False)
+            assert S.sample_entropy(x) == pytest.approx(-np.log(pairs[2] / pairs[1]))
+            got = S.recurrence(x)
+            assert {k: got[k] for k in want} == pytest.approx(want)
