@@ -3,10 +3,10 @@
 Every document has a membership in each domain (a row of the target table). A document with a source belongs to it
 wholly; for one without, a classifier learned from those with one (naive Bayes over hashed byte trigrams, its scores
 tempered by length) gives posteriors. Projected gradient descent then fits document rates between 0 and the
-allowed repeats so that the expected tokens of each domain match its target in the least-squares sense. The step is
-divided by each domain's own tokens, so documents of one source share their rate and reach it in one step; what they
-leave open because they are at their cap is fitted by the rates of the documents without a source, over all of them
-at each step.
+allowed repeats so that the expected tokens of each domain match its target in the least-squares sense, a domain's
+residual squared over its tokens. The step is divided by each domain's tokens, so documents of one source share their
+rate. From where these alone come nearest, all rates take steps along the signed residual, so that a domain beyond its
+target pushes them down, until no domain's expected tokens move by more than TOLERANCE of all.
 
 The driver holds vectors of one number a domain and the classifier's table of domains x BUCKETS numbers: the target
 table bounds both, the number of documents bounds neither.
@@ -14,6 +14,7 @@ table bounds both, the number of documents bounds neither.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from proselake.llm.bpe import VOCABULARY, token_counts
 from proselake.session import materialize
 
-#: Hash buckets of the classifier's byte trigrams; steps of the gradient descent; weight of a document's mean score.
-BUCKETS, STEPS, SHARPNESS = 4096, 8, 60.0
+#: Hash buckets of the classifier's byte trigrams; weight of a document's mean score.
+BUCKETS, SHARPNESS = 4096, 60.0
+#: The gradient descent has converged when a step moves each domain by less than this share of all tokens; steps after which it gives up with a warning.
+TOLERANCE, STEPS = 1e-5, 500
 #: Targets are read to the driver; a table of more rows is refused.
 MAX_DOMAINS = 100_000
 
@@ -117,14 +120,19 @@ class Mixture:
         model = domain_model(documents, self.domains)
         loose = documents.where("source is null").select("doc_id", "text").join(self.tokens.where("source is null").select("doc_id", "tokens").distinct(), "doc_id")
         self.members = materialize(posteriors(loose, self.domains, model))
-        mass = self._expected(None)
-        left = self.open.copy()
+        soft, self.left = self._expected(None), self.open
+        if not soft.any() or not (self.left > 1e-9).any():
+            return
+        # with all tokens of a domain below, the step never overshoots: what it multiplies residuals by has row sums of one at most
+        mass = np.maximum(self.own + soft, 1)
         for _ in range(STEPS):
-            if not (left > 1e-9).any() or not mass.any():
-                break
-            self.history.append(np.clip(left, 0, None) / np.maximum(mass, 1))
-            left = self.open - self._expected(self.history)
-        self.left = left
+            step = self.left / mass
+            self.history.append(step)
+            self.rate = np.where(self.own > 0, np.clip(self.rate + step, 0, self.cap), 0)
+            before, self.left = self.left, self.target - self.rate * self.own - self._expected(self.history)
+            if np.abs(self.left - before).max() <= TOLERANCE * max(1.0, self.total):
+                return
+        warnings.warn(f"rates still move after {STEPS} steps")
 
     def _expected(self, history: list[np.ndarray] | None) -> np.ndarray:
         """The expected tokens by domain of the documents without a source; history None: at rate 1."""
@@ -151,34 +159,63 @@ class Mixture:
         hard = self.tokens.where("source is not null").join(F.broadcast(table), "source", "left").select("doc_id", "source", "tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"))
         if self.members is None:
             return hard
+        return hard.unionByName(self._soft().select("doc_id", F.lit(None).cast("string").alias("source"), "tokens", "rate"))
+
+    def _soft(self) -> DataFrame:
+        """(doc_id, tokens, m, rate) of the documents without a source."""
         cap, history, k = self.cap, self.history, len(self.domains)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m = np.asarray(b.column(2).flatten()).reshape(-1, k)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(soft_rates(m, cap, history))], ["doc_id", "tokens", "rate"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(soft_rates(m, cap, history))], ["doc_id", "tokens", "m", "rate"])
+
+        return self.members.mapInArrow(run, "doc_id bigint, tokens bigint, m array<float>, rate double")
 
-        soft = self.members.mapInArrow(run, "doc_id bigint, tokens bigint, rate double")
-        return hard.unionByName(soft.select("doc_id", F.lit(None).cast("string").alias("source"), "tokens", "rate"))
+    def _soft_drawn(self) -> np.ndarray:
+        """Drawn tokens of the documents without a source, spread over the domains by their memberships."""
+        k, out = len(self.domains), np.zeros(len(self.domains))
+        if self.members is None:
+            return out
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = np.zeros(k)
+            for b in batches:
+                s += np.asarray(b.column(0), float) @ np.asarray(b.column(1).flatten(), float).reshape(-1, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s)], ["k", "v"])
+
+        drawn = _copies(self._soft()).where("copies > 0").select((F.col("tokens") * F.col("copies")).alias("used"), "m")
+        for r in drawn.mapInArrow(total, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            out[r.k] = r.v
+        return out
 
     def draw(self) -> DataFrame:
         """(doc_id, source, tokens, copies): whole copies whose expectation is the rate; never more than the cap, and the
         same on every run (the fraction is decided by the document's id)."""
-        u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        return self.rates().withColumn("copies", F.floor(F.col("rate") + u).cast("int")).drop("rate")
+        return _copies(self.rates()).drop("rate")
 
     def report(self) -> DataFrame:
-        """(source, target_share, tokens, rate, actual_share, most_copies): the shares that the drawn copies reach."""
+        """(source, target_share, tokens, rate, soft_tokens, actual_share, most_copies): the shares of all drawn tokens. tokens,
+        rate and most_copies are those of the documents with the source; soft_tokens the drawn tokens expected from others."""
         drawn = self.draw().where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
-        goal = self.spark.createDataFrame([(d, float(s), float(r)) for d, s, r in zip(self.domains, self.share, self.rate)], "source string, target_share double, rate double")
-        all_used = drawn.agg(F.sum("used").alias("all_used"))
-        return goal.join(drawn, "source", "left").crossJoin(F.broadcast(all_used)).select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), "rate", (F.coalesce("used", F.lit(0)) / F.col("all_used")).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+        soft = self._soft_drawn()
+        goal = self.spark.createDataFrame([(d, float(s), float(r), float(v)) for d, s, r, v in zip(self.domains, self.share, self.rate, soft)], "source string, target_share double, rate double, soft_tokens double")
+        all_used = drawn.agg((F.coalesce(F.sum("used"), F.lit(0)) + float(soft.sum())).alias("all_used"))
+        used = F.coalesce("used", F.lit(0)) + F.col("soft_tokens")
+        share = F.when(F.col("all_used") > 0, used / F.col("all_used")).alias("actual_share")
+        return goal.join(drawn, "source", "left").crossJoin(F.broadcast(all_used)).select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), "rate", "soft_tokens", share, F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
 
     def short(self) -> list[str]:
         """Domains whose documents, all at their cap, leave some of the target open; checked exactly against target > cap x tokens."""
         return [d for d, o, t, c, n in zip(self.domains, self.open, self.target, self.cap, self.own) if (o > -1e-6 * max(1.0, t)) and t > c * n]
 
 
+def _copies(rates: DataFrame) -> DataFrame:
+    """With the whole copies drawn at each rate; the document's id decides the fraction."""
+    u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return rates.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+
+
 def soft_rates(m: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     """Replays the projected steps of documents from their memberships, so that no state need be kept between steps."""
     r, top = np.zeros(len(m)), m @ cap

@@ -46,3 +46,22 @@ def test_no_targets(docs_of, spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     assert mixing.short_sources(none, targets).count() == 0
+
+
+def test_documents_between_domains(docs_of, spark, monkeypatch):
+    """What they fill of one domain they overfill of the other, so that its own documents' rate falls; the report counts all that is drawn."""
+    sea, land = "the harbour of the north holds grey ships ", "a green meadow above the village grows corn "
+    rows = [(i, sea * 4, "en", "sea") for i in range(40)] + [(100 + i, land * 4, "en", "land") for i in range(8)] + [(200 + i, (sea + land) * 2, "en", None) for i in range(10)]
+    monkeypatch.setattr(mixing, "SHARPNESS", 0.0)  # memberships are the prior
+    targets = spark.createDataFrame([("sea", 0.5, 2), ("land", 0.5, 1)], "source string, target_share double, max_repeats int")
+    m = mixing.Mixture(docs_of(rows), targets)
+    at = m.domains.index("sea")
+    assert abs(m.left[at]) < 0.01 * m.total and m.rate[at] < 0.95 * m.target[at] / m.own[at]
+    member = {r.doc_id: r.m for r in m.members.collect()}
+    used = {d: 0.0 for d in m.domains}
+    for r in m.draw().collect():
+        for i, d in enumerate(m.domains):
+            used[d] += r.tokens * r.copies * (r.source == d if r.source else member[r.doc_id][i])
+    rep = {r.source: r for r in m.report().collect()}
+    assert sum(r.soft_tokens for r in rep.values()) > 0 and sum(r.actual_share for r in rep.values()) == pytest.approx(1)
+    assert {d: r.actual_share for d, r in rep.items()} == pytest.approx({d: v / sum(used.values()) for d, v in used.items()}, rel=1e-5)
