@@ -1,15 +1,16 @@
 """Mixing sources to target weights by soft membership.
 
-Every document has a membership in each domain (a row of the target table). A document with a source belongs to it
-wholly; for one without, a classifier learned from those with one (naive Bayes over hashed byte trigrams, its scores
-tempered by length) gives posteriors. Projected gradient descent then fits document rates between 0 and the
-allowed repeats so that the expected tokens of each domain match its target in the least-squares sense, a domain's
-residual squared over its tokens. The step is divided by each domain's tokens, so documents of one source share their
-rate. From where these alone come nearest, all rates take steps along the signed residual, so that a domain beyond its
-target pushes them down, until no domain's expected tokens move by more than TOLERANCE of all.
-
-The driver holds vectors of one number a domain and the classifier's table of domains x BUCKETS numbers: the target
-table bounds both, the number of documents bounds neither.
+A classifier learned from the labelled rows (naive Bayes over hashed byte trigrams, its scores tempered by length) gives
+every document its domain posteriors, kept in steps of 1/PARTS. A document with a source belongs to it with the weight
+TRUST and to all domains by its posteriors with the rest; one without a source belongs by its posteriors alone.
+Projected gradient descent then fits a rate for each document, between 0 and the repeats it is allowed, so that the
+expected tokens of each domain match its target in the least-squares sense. Documents of one source and one posterior
+share their gradient, so every pass of the descent reads the table of these groups, not the documents. The step of a
+domain is divided by the tokens that can reach it; a domain beyond its target pushes rates down. It ends when no
+domain's expected tokens move by more than TOLERANCE of all.
+
+The driver holds vectors of one number a domain and the classifier's table, whose buckets are chosen so that it stays
+within MODEL_BYTES whatever the number of domains: the target table bounds both, the number of documents bounds neither.
 """
 
 from __future__ import annotations
@@ -19,31 +20,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselake.llm.bpe import VOCABULARY, token_counts
+from proselake.llm.bpe import VOCABULARY, Encoder
 from proselake.session import materialize
 
-#: Hash buckets of the classifier's byte trigrams; weight of a document's mean score.
-BUCKETS, SHARPNESS = 4096, 60.0
+#: Hash buckets of the classifier's byte trigrams at most, and bytes of its table; weight of a document's mean score.
+BUCKETS, MODEL_BYTES, SHARPNESS = 4096, 64 << 20, 60.0
+#: Weight of a document's own source in its membership; steps in which posteriors are kept.
+TRUST, PARTS = 0.99, 64
 #: The gradient descent has converged when a step moves each domain by less than this share of all tokens; steps after which it gives up with a warning.
 TOLERANCE, STEPS = 1e-5, 500
-#: Targets are read to the driver; a table of more rows is refused.
-MAX_DOMAINS = 100_000
+_MEMBER = "doc_id bigint, source string, k int, tokens bigint, at array<int>, q array<int>"
 
 
-def _trigrams(text: str) -> np.ndarray:
+def _buckets(domains: int) -> int:
+    n = BUCKETS
+    while n > 64 and n * domains * 8 > MODEL_BYTES:
+        n //= 2
+    return n
+
+
+def _trigrams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     if len(b) < 3:
-        return np.zeros(BUCKETS, np.int64)
+        return np.zeros(buckets, np.int64)
     h = (b[:-2] * 0x9E3779B1 + b[1:-1] * 0x85EBCA6B + b[2:] * 0xC2B2AE35) & 0xFFFFFFFF
-    return np.bincount((h >> 20).astype(np.int64), minlength=BUCKETS)
+    return np.bincount((h >> 20).astype(np.int64) % buckets, minlength=buckets)
 
 
 def domain_model(documents: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihood of each bucket, log prior) by domain, from all documents with a source among the domains."""
-    at = {d: i for i, d in enumerate(domains)}
+    at, size = {d: i for i, d in enumerate(domains)}, _buckets(len(domains))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -55,159 +65,177 @@ def domain_model(documents: DataFrame, domains: list[str]) -> tuple[np.ndarray,
                 if k is not None and t:
                     by.setdefault(k, []).append(t)
             for k, ts in by.items():
-                sums[k] = sums.get(k, 0) + _trigrams("\n".join(ts))
+                sums[k] = sums.get(k, 0) + _trigrams("\n".join(ts), size)
                 docs[k] = docs.get(k, 0) + len(ts)
         for k, v in sums.items():
             hit = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit) + 1, k, np.int32)), pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(v[hit], docs[k]))], ["k", "bucket", "n"])
 
     rows = documents.where("source is not null").select("source", "text").mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts, prior = np.full((len(domains), BUCKETS), 0.5), np.full(len(domains), 0.5)
+    counts, prior = np.full((len(domains), size), 0.5), np.full(len(domains), 0.5)
     k, bucket, n = (rows.column(i).to_numpy() for i in range(3))
     counts[k[bucket >= 0], bucket[bucket >= 0]] += n[bucket >= 0]
     prior[k[bucket < 0]] += n[bucket < 0]
     return np.log(counts / counts.sum(1, keepdims=True)), np.log(prior / prior.sum())
 
 
-def posteriors(documents: DataFrame, domains: list[str], model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, tokens, m ARRAY<FLOAT>): the domain posteriors of each document given; of an empty text the prior."""
+def in_parts(p: np.ndarray) -> np.ndarray:
+    """Posteriors in whole PARTS that sum to PARTS: rounded down, what is left goes to the largest."""
+    q = np.floor(p * PARTS).astype(np.int32)
+    q[np.arange(len(q)), p.argmax(1)] += PARTS - q.sum(1)
+    return q
+
+
+def memberships(documents: DataFrame, domains: list[str], model: tuple[np.ndarray, np.ndarray], vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, k, tokens, at, q) of every row: the number of its source among the domains (-1 without a source,
+    -2 for a source that isn't one), its tokens, and its posteriors (q parts at the domains `at`); of an empty text the prior."""
     like, prior = model
+    place = {d: i for i, d in enumerate(domains)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, size = Encoder.of(vocabulary), like.shape[1]
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                c = _trigrams(t or "")
-                z = like @ c / max(1, c.sum()) * SHARPNESS + prior
-                p = np.exp(z - z.max())
-                out.append((p / p.sum()).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float32()))], ["doc_id", "tokens", "m"])
-
-    return documents.select("doc_id", "tokens", "text").mapInArrow(run, "doc_id bigint, tokens bigint, m array<float>")
+            texts, sources = b.column(2).to_pylist(), b.column(1).to_pylist()
+            k = [-1 if s is None else place.get(s, -2) for s in sources]
+            tokens = [len(enc.encode(t)) for t in texts]
+            c = np.array([_trigrams(t or "", size) for t in texts], float)
+            z = c @ like.T / np.maximum(c.sum(1, keepdims=True), 1) * SHARPNESS + prior
+            p = np.exp(z - z.max(1, keepdims=True))
+            q = in_parts(p / p.sum(1, keepdims=True))
+            row, at = np.nonzero(q)
+            ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(k, pa.int32()), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(q[row, at]))], ["doc_id", "source", "k", "tokens", "at", "q"]
+            )
+
+    # few texts at a time, as each takes a row of the table of buckets
+    return documents.select("doc_id", "source", "text").mapInArrow(lambda it: run(_pieces(it, 256)), _MEMBER)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+class _Rates:
+    """Memberships, caps and rates of batches of groups or documents; what a task carries is a vector a domain and a step."""
+
+    def __init__(self, cap: np.ndarray, trust: float, history: list[np.ndarray]) -> None:
+        self.cap, self.trust, self.history = cap, trust, list(history)
+
+    def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(m, rate): the memberships of each row and its rate after all steps so far."""
+        k = np.asarray(b.column("k"))
+        q, n = np.zeros((len(k), len(self.cap))), np.asarray(pc.list_value_length(b.column("at")))
+        q[np.repeat(np.arange(len(k)), n), np.asarray(b.column("at").flatten())] = np.asarray(b.column("q").flatten()) / PARTS
+        top = np.where(k >= 0, self.cap[k], self.cap[q.argmax(1)]) * (k > -2)  # what no domain owns isn't drawn
+        own = k >= 0
+        m = np.where(own[:, None], (1 - self.trust) * q, q)
+        m[np.flatnonzero(own), k[own]] += self.trust
+        r = np.zeros(len(k))
+        for step in self.history:
+            r = np.clip(r + m @ step, 0, top)
+        return m, r
 
 
 class Mixture:
-    """The fitted mixture: rates by source for documents with one, by document for those without."""
+    """The fitted mixture: a rate for each document."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, soft: bool = True) -> None:
+    def __init__(self, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, trust: float = TRUST) -> None:
         """documents: doc_id, source, text. targets: source, target_share, max_repeats, each source once (of repeated
         rows the first in order of share and repeats counts); null sources, shares or repeats count as none."""
-        if (n := targets.count()) > MAX_DOMAINS:
-            raise ValueError(f"{n} rows of targets; at most {MAX_DOMAINS}")
         rows = sorted({(r.source, float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r.source is not None})
         rows = list({r[0]: r for r in reversed(rows)}.values())[::-1]
-        self.spark, self.domains = documents.sparkSession, [r[0] for r in rows]
+        self.spark, self.domains, self.trust = documents.sparkSession, [r[0] for r in rows], trust
         self.share, self.cap = np.array([r[1] for r in rows]), np.array([float(r[2]) for r in rows])
-        self.tokens = materialize(token_counts(documents, ["doc_id", "source"], vocabulary))
-        by = {r.source: r.n for r in self.tokens.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("n")).join(F.broadcast(self._names()), "source", "right").select("source", F.coalesce("n", F.lit(0)).alias("n")).collect()} if self.domains else {}
-        self.own = np.array([float(by.get(d, 0)) for d in self.domains])
-        self.total = float(self.tokens.where("source is not null").agg(F.sum("tokens")).first()[0] or 0)
-        self.target = self.share * self.total
-        # the projected gradient step of the documents with a source: from 0, with the step 1 / own tokens
-        gradient = -self.target / np.maximum(self.own, 1)
-        self.rate = np.clip(-gradient, 0, self.cap)
-        self.rate[self.own == 0] = 0
-        self.open = self.target - self.rate * self.own
-        self.members: DataFrame | None = None
-        self.history: list[np.ndarray] = []
-        if soft and self.domains:
-            self._fit_soft(documents)
-
-    def _names(self) -> DataFrame:
-        return self.spark.createDataFrame([(d,) for d in self.domains], "source string")
-
-    def _fit_soft(self, documents: DataFrame) -> None:
-        model = domain_model(documents, self.domains)
-        loose = documents.where("source is null").select("doc_id", "text").join(self.tokens.where("source is null").select("doc_id", "tokens").distinct(), "doc_id")
-        self.members = materialize(posteriors(loose, self.domains, model))
-        soft, self.left = self._expected(None), self.open
-        if not soft.any() or not (self.left > 1e-9).any():
+        k = len(self.domains)
+        self.own, self.fitted, self.history = np.zeros(k), np.zeros(k), []
+        self.members = self.groups = None
+        self.total = 0.0
+        if not k:
             return
-        # with all tokens of a domain below, the step never overshoots: what it multiplies residuals by has row sums of one at most
-        mass = np.maximum(self.own + soft, 1)
+        self.members = materialize(memberships(documents, self.domains, domain_model(documents, self.domains), vocabulary))
+        self.groups = materialize(self.members.groupBy("k", "at", "q").agg(F.sum("tokens").alias("tokens")))
+        for r in self.groups.groupBy("k").agg(F.sum("tokens").alias("n")).collect():
+            self.total += r.n if r.k != -1 else 0
+            if r.k >= 0:
+                self.own[r.k] = r.n
+        self.target = self.share * self.total
+        self._fit()
+
+    def _fit(self) -> None:
+        # with all tokens that can reach a domain below, the step never overshoots: what it multiplies residuals by has column sums of one at most
+        mass, _ = self._expected(None)
+        mass, before = np.maximum(mass, 1), np.zeros(len(mass))
         for _ in range(STEPS):
-            step = self.left / mass
-            self.history.append(step)
-            self.rate = np.where(self.own > 0, np.clip(self.rate + step, 0, self.cap), 0)
-            before, self.left = self.left, self.target - self.rate * self.own - self._expected(self.history)
-            if np.abs(self.left - before).max() <= TOLERANCE * max(1.0, self.total):
+            self.history.append((self.target - before) / mass)
+            self.expected, self.fitted = self._expected(self.history)
+            if np.abs(self.expected - before).max() <= TOLERANCE * max(1.0, self.total):
                 return
+            before = self.expected
         warnings.warn(f"rates still move after {STEPS} steps")
 
-    def _expected(self, history: list[np.ndarray] | None) -> np.ndarray:
-        """The expected tokens by domain of the documents without a source; history None: at rate 1."""
-        k, cap = len(self.domains), self.cap
+    def _expected(self, history: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(expected tokens by domain, those of them that documents of the domain's own source take) at the rates of the history; None: at rate 1."""
+        k, rates = len(self.domains), _Rates(self.cap, self.trust, history or [])
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros(k)
+            s, mine = np.zeros(k), np.zeros(k)
             for b in batches:
-                m = np.asarray(b.column(1).flatten()).reshape(-1, k)
-                r = np.ones(len(m)) if history is None else soft_rates(m, cap, history)
-                s += (r * np.asarray(b.column(0))) @ m
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s)], ["k", "v"])
-
-        out = np.zeros(k)
-        for r in self.members.select("tokens", "m").mapInArrow(total, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            out[r.k] = r.v
-        return out
+                m, r = rates.of(b)
+                used = np.asarray(b.column("tokens"), float) * (r if history is not None else np.asarray(b.column("k")) > -2)
+                s += used @ m
+                own = np.asarray(b.column("k"))
+                np.add.at(mine, own[own >= 0], used[own >= 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s), pa.array(mine)], ["d", "v", "mine"])
+
+        out = np.zeros((2, k))
+        for r in self.groups.select("k", "at", "q", "tokens").mapInArrow(total, "d int, v double, mine double").groupBy("d").agg(F.sum("v").alias("v"), F.sum("mine").alias("mine")).collect():
+            out[:, r.d] = r.v, r.mine
+        return out[0], out[1]
 
     def rates(self) -> DataFrame:
-        """(doc_id, source, tokens, rate): how often each document is expected in the mixture."""
-        if not self.domains:
-            return self.tokens.withColumn("rate", F.lit(0.0))
-        table = self.spark.createDataFrame([(d, float(r)) for d, r in zip(self.domains, self.rate)], "source string, rate double")
-        hard = self.tokens.where("source is not null").join(F.broadcast(table), "source", "left").select("doc_id", "source", "tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+        """(doc_id, source, k, tokens, at, q, rate): how often each document is expected in the mixture."""
         if self.members is None:
-            return hard
-        return hard.unionByName(self._soft().select("doc_id", F.lit(None).cast("string").alias("source"), "tokens", "rate"))
-
-    def _soft(self) -> DataFrame:
-        """(doc_id, tokens, m, rate) of the documents without a source."""
-        cap, history, k = self.cap, self.history, len(self.domains)
+            return self.spark.createDataFrame([], _MEMBER + ", rate double")
+        rates = _Rates(self.cap, self.trust, self.history)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                m = np.asarray(b.column(2).flatten()).reshape(-1, k)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(soft_rates(m, cap, history))], ["doc_id", "tokens", "m", "rate"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates.of(b)[1])], [*b.schema.names, "rate"])
 
-        return self.members.mapInArrow(run, "doc_id bigint, tokens bigint, m array<float>, rate double")
-
-    def _soft_drawn(self) -> np.ndarray:
-        """Drawn tokens of the documents without a source, spread over the domains by their memberships."""
-        k, out = len(self.domains), np.zeros(len(self.domains))
-        if self.members is None:
-            return out
-
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros(k)
-            for b in batches:
-                s += np.asarray(b.column(0), float) @ np.asarray(b.column(1).flatten(), float).reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(s)], ["k", "v"])
-
-        drawn = _copies(self._soft()).where("copies > 0").select((F.col("tokens") * F.col("copies")).alias("used"), "m")
-        for r in drawn.mapInArrow(total, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            out[r.k] = r.v
-        return out
+        return self.members.mapInArrow(run, _MEMBER + ", rate double")
 
     def draw(self) -> DataFrame:
-        """(doc_id, source, tokens, copies): whole copies whose expectation is the rate; never more than the cap, and the
-        same on every run (the fraction is decided by the document's id)."""
-        return _copies(self.rates()).drop("rate")
+        """(doc_id, source, tokens, copies): whole copies whose expectation is the rate, never more than the repeats of the
+        document's source (without one: of its likeliest domain), and the same on every run (the fraction is decided by the document's id)."""
+        return _copies(self.rates()).select("doc_id", "source", "tokens", "copies")
 
     def report(self) -> DataFrame:
         """(source, target_share, tokens, rate, soft_tokens, actual_share, most_copies): the shares of all drawn tokens. tokens,
-        rate and most_copies are those of the documents with the source; soft_tokens the drawn tokens expected from others."""
-        drawn = self.draw().where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
-        soft = self._soft_drawn()
-        goal = self.spark.createDataFrame([(d, float(s), float(r), float(v)) for d, s, r, v in zip(self.domains, self.share, self.rate, soft)], "source string, target_share double, rate double, soft_tokens double")
-        all_used = drawn.agg((F.coalesce(F.sum("used"), F.lit(0)) + float(soft.sum())).alias("all_used"))
-        used = F.coalesce("used", F.lit(0)) + F.col("soft_tokens")
-        share = F.when(F.col("all_used") > 0, used / F.col("all_used")).alias("actual_share")
-        return goal.join(drawn, "source", "left").crossJoin(F.broadcast(all_used)).select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), "rate", "soft_tokens", share, F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+        rate (their mean over tokens) and most_copies are those of the documents with the source; soft_tokens the drawn
+        tokens expected from documents without one."""
+        drawn = _copies(self.rates()).where("k > -2")
+        own = drawn.where("k >= 0").groupBy("source").agg(
+            F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used"), (F.sum(F.col("tokens") * F.col("rate")) / F.greatest(F.sum("tokens"), F.lit(1))).alias("rate"), F.max("copies").alias("most_copies")
+        )
+        part = F.explode(F.arrays_zip("at", "q")).alias("p")
+        soft = drawn.where("k = -1 and copies > 0").select((F.col("tokens") * F.col("copies")).alias("used"), part).groupBy(F.col("p.at").alias("d")).agg((F.sum(F.col("used") * F.col("p.q")) / float(PARTS)).alias("soft_tokens"))
+        goal = self.spark.createDataFrame([(i, d, float(s)) for i, (d, s) in enumerate(zip(self.domains, self.share))], "d int, source string, target_share double")
+        rows = goal.join(own, "source", "left").join(soft, "d", "left").na.fill(0)
+        used = (F.col("used") + F.col("soft_tokens")).alias("drawn")
+        rows = rows.select("source", "target_share", "tokens", "rate", "soft_tokens", "most_copies", used)
+        everything = rows.agg(F.sum("drawn").alias("everything"))  # one row
+        share = F.when(F.col("everything") > 0, F.col("drawn") / F.col("everything")).alias("actual_share")
+        return rows.crossJoin(F.broadcast(everything)).select("source", "target_share", "tokens", "rate", "soft_tokens", share, "most_copies")
 
     def short(self) -> list[str]:
-        """Domains whose documents, all at their cap, leave some of the target open; checked exactly against target > cap x tokens."""
-        return [d for d, o, t, c, n in zip(self.domains, self.open, self.target, self.cap, self.own) if (o > -1e-6 * max(1.0, t)) and t > c * n]
+        """Domains to which the fit can't bring their target from documents of their own, checked exactly: target > cap x own tokens.
+
+        Fitted rates are at most the cap, so no domain short of documents reaches its target; one may also stay below it
+        because documents of other domains reach into it, which the check tells apart."""
+        return [d for d, f, t, c, n in zip(self.domains, self.fitted, self.target, self.cap, self.own) if f < t and t > c * n] if self.domains else []
 
 
 def _copies(rates: DataFrame) -> DataFrame:
@@ -216,14 +244,6 @@ def _copies(rates: DataFrame) -> DataFrame:
     return rates.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
-def soft_rates(m: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Replays the projected steps of documents from their memberships, so that no state need be kept between steps."""
-    r, top = np.zeros(len(m)), m @ cap
-    for step in history:
-        r = np.clip(r + m @ step, 0, top)
-    return r
-
-
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(source) of each target that cannot be reached with max_repeats uses of each of its documents."""
     mix = Mixture(documents.select("doc_id", "source", "text"), targets, vocabulary)

@@ -26,7 +26,7 @@ def test_short_sources(mix, spark):
 def test_rates_and_draw(mix):
     m, _, _ = mix
     rates = {r.doc_id: r.rate for r in m.rates().collect()}
-    assert rates[0] == rates[1] and 0 < rates[0] <= 2 and all(0 <= r <= 4 for r in rates.values())
+    assert rates[0] == pytest.approx(rates[1]) and 0 < rates[0] <= 2 and all(0 <= r <= 4 for r in rates.values())
     copies = {r.doc_id: r.copies for r in m.draw().collect()}
     assert copies == {r.doc_id: r.copies for r in m.draw().collect()} and max(copies.values()) <= 4
     rep = {r.source: r for r in m.report().collect()}
@@ -34,10 +34,28 @@ def test_rates_and_draw(mix):
     assert abs(rep["sea"].actual_share + rep["land"].actual_share - 1) < 1e-9
 
 
-def test_posteriors_know_the_domain(mix):
+def test_every_document_has_posteriors(mix):
+    m, docs, _ = mix
+    rows = m.members.collect()
+    assert len(rows) == docs.count() and all(sum(r.q) == mixing.PARTS for r in rows)
+    row = next(r for r in rows if r.doc_id == 200)
+    assert row.k == -1 and m.domains[row.at[max(range(len(row.q)), key=lambda i: row.q[i])]] == "sea"
+
+
+def test_fit_is_the_least_squares_optimum(mix):
+    """At the end no rate can move within its bounds and bring the expected tokens nearer."""
     m, _, _ = mix
-    row = next(r for r in m.members.collect() if r.doc_id == 200)
-    assert m.domains[max(range(len(row.m)), key=lambda k: row.m[k])] == "sea" and abs(sum(row.m) - 1) < 1e-4
+    left = (m.target - m.expected) / m.total
+    d = {x: i for i, x in enumerate(m.domains)}
+    assert abs(left[d["sea"]]) < 1e-3 and abs(left[d["land"]]) < 1e-3 and left[d["rare"]] == pytest.approx(0.2)
+
+
+def test_memberships_move_the_fit(docs_of, spark):
+    """Texts of a source that read like another's fill that one's target, so that its own documents are drawn less."""
+    rows = ROWS[:80] + [(300 + i, f"the harbour of the north holds {i} grey ships " * 4, "en", "land") for i in range(40)]
+    targets = spark.createDataFrame([("sea", 0.6, 3), ("land", 0.4, 3)], "source string, target_share double, max_repeats int")
+    rate = {t: next(r.rate for r in mixing.Mixture(docs_of(rows), targets, trust=t).rates().collect() if r.doc_id == 0) for t in (1.0, 0.5)}
+    assert rate[0.5] < 0.95 * rate[1.0]
 
 
 def test_no_targets(docs_of, spark):
@@ -56,12 +74,16 @@ def test_documents_between_domains(docs_of, spark, monkeypatch):
     targets = spark.createDataFrame([("sea", 0.5, 2), ("land", 0.5, 1)], "source string, target_share double, max_repeats int")
     m = mixing.Mixture(docs_of(rows), targets)
     at = m.domains.index("sea")
-    assert abs(m.left[at]) < 0.01 * m.total and m.rate[at] < 0.95 * m.target[at] / m.own[at]
-    member = {r.doc_id: r.m for r in m.members.collect()}
+    assert abs(m.target[at] - m.expected[at]) < 0.01 * m.total and m.fitted[at] < 0.95 * m.target[at]
+    member = {r.doc_id: r for r in m.members.collect()}
     used = {d: 0.0 for d in m.domains}
     for r in m.draw().collect():
-        for i, d in enumerate(m.domains):
-            used[d] += r.tokens * r.copies * (r.source == d if r.source else member[r.doc_id][i])
+        assert r.copies <= 2
+        if r.source:
+            used[r.source] += r.tokens * r.copies
+        else:
+            for i, q in zip(member[r.doc_id].at, member[r.doc_id].q):
+                used[m.domains[i]] += r.tokens * r.copies * q / mixing.PARTS
     rep = {r.source: r for r in m.report().collect()}
     assert sum(r.soft_tokens for r in rep.values()) > 0 and sum(r.actual_share for r in rep.values()) == pytest.approx(1)
     assert {d: r.actual_share for d, r in rep.items()} == pytest.approx({d: v / sum(used.values()) for d, v in used.items()}, rel=1e-5)
