@@ -65,6 +65,7 @@ def queries() -> dict[str, Query]:
         "p6_unsplit": p6_unsplit,
         "p7_found": lambda s, d: lookalike.lookalike_pairs(_docs(s, d)),
         "p7_normalized": lambda s, d: lookalike.normalized(_docs(s, d)).select("doc_id", "text"),
+        "p7_classes": lambda s, d: lookalike.look_classes(_docs(s, d)).select("doc_id", F.hex("look_hash").alias("look"), "variants", "links"),
         "p8_ids": lambda s, d: bpe.token_ids(_docs(s, d)),
         "p9_found": lambda s, d: mixing.short_sources(_docs(s, d), table(s, d, "mix_targets")),
         "p9_report": p9_report,

@@ -18,15 +18,45 @@ def test_pairs(docs_of):
 
 
 def test_transitive_classes():
-    t = L.rewriting({ord(c): 1 for c in "aаａ"})
-    assert L.rewrite("ａа", t) == L.rewrite("aa", t)
+    t = L.table_of({c: 1 for c in "aа "})
+    assert t.rewrite("ａа") == t.rewrite("aa")
+
+
+def test_representatives_follow_frequency():
+    """A string or a single sign represents a class, whichever is more frequent, and texts still come out the same."""
+    texts = ["wait…", "wait...", "wait.…", "wait....", "ﬁt ﬂow oﬀice oﬃce", "fit flow office office", "caf\u00e9", "cafe\u0301", "“x”", "''x''", '"x"']
+    base = {c: 50 for c in "abcdefghijklmnopqrstuvwxyz .'"}
+    few, many = L.table_of(base | {"...": 20, "…": 1, "fi": 9}), L.table_of(base | {"...": 20, "…": 90, "é": 9, "\u0301": 1, "“": 30})
+    assert few.rewrite("a…") == "a..." and many.rewrite("a...") == "a…" and many.rewrite("e\u0301") == "é" and many.rewrite("''") == "“"
+    for t in (few, many):
+        out = [t.rewrite(x) for x in texts]
+        assert out[0] == out[1] and out[2] == out[3] and out[4] == out[5] and out[6] == out[7] and len(set(out[8:])) == 1
+
+
+def test_longest_match_first():
+    a = L.Rewriter({"ab": "1", "abc": "2", "c": "3"})
+    assert a("abcabxc") == "21x3" and a("xyz") == "xyz" and a("xab") == "x1"
+
+
+def test_table_is_kept_for_later_corpora(spark, docs_of, tmp_path):
+    t = L.learn_table(docs_of([(1, "caf\u00e9 … ‘x’"), (2, None)]))
+    L.save_table(spark, t, str(tmp_path / "table"))
+    back = L.load_table(spark, str(tmp_path / "table"))
+    assert (back.spelled, back.kept) == (t.spelled, t.kept)
+    got = {r.doc_id: r.text for r in L.normalized(docs_of([(1, "cafe\u0301 ..."), (2, "café …")]), table=back).collect()}
+    assert got[1] == got[2]
+
+
+def test_links(docs_of):
+    rows = L.look_classes(docs_of([(1, "‘a’"), (2, "'a'"), (3, "'a'"), (4, "b")])).collect()
+    assert {(r.doc_id, r.variants, r.links) for r in rows} == {(1, 2, 2), (2, 2, 1), (3, 2, 1)}
 
 
 def test_idempotent_and_words_kept():
-    t = L.rewriting({ord(c): 5 for c in "Ünïcödé “x” …ﬁ한글 नदी ไทย"})
+    t = L.table_of({c: 5 for c in "Ünïcödé “x” …ﬁ한글 नदी ไทย"})
     for s in ("Ünïcödé “x” …ﬁ", "한글", "नदी ไทย", ""):
-        assert L.rewrite(L.rewrite(s, t), t) == L.rewrite(s, t)
-    assert L.rewrite("Word", t) != L.rewrite("word", t)
+        assert t.rewrite(t.rewrite(s)) == t.rewrite(s)
+    assert t.rewrite("Word") != t.rewrite("word")
 
 
 def test_copies_and_empty(docs_of, spark):
