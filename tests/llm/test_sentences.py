@@ -85,3 +85,41 @@ def test_vocabulary_beyond_memory_is_exact(docs_of, monkeypatch):
     assert want[-2:] == [(999, 0, 0, 24)] * 2
     monkeypatch.setattr(S, "VOCABULARY", 4)  # start then holds Vale, all doesn't
     assert sorted(map(tuple, S.sentences(docs).collect())) == want
+
+
+def learned(texts):
+    return S.Model(S.count_texts(texts))
+
+
+def test_no_limit_on_quotations():
+    """However long a quotation or a run is, its end is found by the same signs."""
+    words = "the old mill stood by the river and nobody came " * 200
+    assert units(f"„{words}.“ sagte Vera. Dann ging sie.") == [f"„{words}.“ sagte Vera.", "Dann ging sie."]
+    assert units(f"“He said: {words}?” Mr. Hugo asked. We left.") == [f"“He said: {words}?” Mr. Hugo asked.", "We left."]
+    assert units("a.b" * 20000 + " end. Next one.")[-1] == "Next one."
+
+
+def test_unspaced_run_is_linear():
+    t = "秦露说很好。" * 30000
+    assert len(S.sentence_ends(t, MODEL)) == 30000
+
+
+def test_text_without_marks():
+    """Hidden events between words: the n-gram model alone cuts a paragraph that has no marks; an empty model cuts none."""
+    subjects, ends = ["The farmer", "Every sailor", "Some teacher"], ["slowly", "yesterday", "alone"]
+    texts = [f"{s} walked past the mill {e}. {s2} saw the red boat {e2}." for s in subjects for e in ends for s2 in subjects for e2 in ends] * 20
+    for case in (str, str.lower):
+        p = case("The farmer saw the red boat yesterday Every sailor walked past the mill alone")
+        assert units(p, learned(texts)) == [case("The farmer saw the red boat yesterday"), case("Every sailor walked past the mill alone")]
+        assert units(p) == [p]
+
+
+def test_unpunctuated_script_without_spaces():
+    texts = ["秦露很高兴地走了。我们看见了那条小船。", "我们看见了旧书店。秦露很高兴地走了。", "我们很快地走了。秦露看见了那条小船。"] * 50
+    p = "秦露很高兴地走了我们看见了那条小船"
+    assert units(p, learned(texts)) == ["秦露很高兴地走了", "我们看见了那条小船"] and units(p) == [p]
+
+
+def test_all_texts_are_learned_from():
+    n = S.count_texts(["नमस्ते दुनिया। फिर मिलेंगे।", "no marks at all", None, "", "我们走了。"])
+    assert n["any", "marks"] == 1 and n["any", "我们"] == 1 and n["sum", "tokens"] >= 8
