@@ -53,6 +53,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: repeated_lines.repeated_lines(_docs(s, d)),
         "p1_clean": lambda s, d: repeated_lines.without_repeated_lines(_docs(s, d)),
+        "p1_templates": lambda s, d: repeated_lines.line_templates(_docs(s, d)),
         "p2_found": lambda s, d: repetition.repetitive(_docs(s, d)),
         "p2_repetition": lambda s, d: repetition.repetition(_docs(s, d)),
         "p3_found": lambda s, d: markup.markup_kinds(_docs(s, d)),
@@ -114,6 +115,21 @@ def oracle_sql() -> dict[str, str]:
 SELECT d.doc_id, CASE WHEN gone IS NULL THEN text ELSE
   array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(gone, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text
 FROM documents d LEFT JOIN gone USING (doc_id)""",
+        "p1_templates": """
+WITH lines AS (
+  SELECT DISTINCT doc_id, source, lower(regexp_replace(line, '[^\\p{L}]+', '', 'g')) AS k, pos
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)),
+cut AS (SELECT doc_id, source, k, list_transform(range(0, (length(k) + 4) // 5), lambda i: substr(k, CAST(i * 5 + 1 AS BIGINT), 5)) AS tokens FROM lines WHERE length(k) >= 10),
+need AS (SELECT source, greatest(3, count(*) * 0.2) AS need FROM documents WHERE source IS NOT NULL GROUP BY source),
+places AS (SELECT source, len(tokens) AS n, tokens[1] AS a, tokens[2] AS b, unnest(range(1, len(tokens) + 1)) AS place, unnest(tokens) AS token FROM cut),
+kept AS (SELECT p.source, n, a, b, place, token FROM places p JOIN need USING (source) GROUP BY p.source, n, a, b, place, token, need HAVING count(*) >= need),
+kinds AS (SELECT DISTINCT source, k, tokens FROM cut),
+shaped AS (SELECT x.source, x.k, string_agg(CASE WHEN kept.token IS NULL THEN '*' ELSE x.token END, '' ORDER BY x.place) AS template, CAST(count(*) FILTER (kept.token IS NULL) AS INTEGER) AS slots, x.n, x.a, x.b
+  FROM (SELECT source, k, len(tokens) AS n, tokens[1] AS a, tokens[2] AS b, unnest(range(1, len(tokens) + 1)) AS place, unnest(tokens) AS token FROM kinds) x
+  LEFT JOIN kept ON kept.source = x.source AND kept.n = x.n AND kept.a = x.a AND kept.b = x.b AND kept.place = x.place AND kept.token = x.token
+  GROUP BY x.source, x.k, x.n, x.a, x.b)
+SELECT s.source, template, slots, count(DISTINCT doc_id) AS docs FROM shaped s JOIN cut ON cut.source = s.source AND cut.k = s.k JOIN need ON need.source = s.source
+GROUP BY s.source, template, slots, n, a, b, need HAVING count(DISTINCT doc_id) >= need""",
         "p6_percentiles": _p6_sql("metric_id, corpus, day", _DAYS, "'day' AS span, day,") + " UNION ALL " + _p6_sql("metric_id, corpus", "findings", "'all' AS span, NULL::DATE AS day,"),
         "p6_unsplit": _p6_sql("metric_id, corpus", "findings", ""),
     }

@@ -3,7 +3,8 @@
 import re
 from collections import defaultdict
 
-from proselake.llm.repeated_lines import repeated_lines, without_repeated_lines
+from proselake.llm import repeated_lines as R
+from proselake.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 
 
 def brute(rows):
@@ -37,3 +38,19 @@ def test_texts_come_back_without_them(docs_of):
 def test_empty_table(docs_of, spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
     assert repeated_lines(empty).count() == 0 and without_repeated_lines(empty).count() == 0
+
+
+def test_slots_where_siblings_differ(docs_of):
+    """Lines that differ in one place share a template with a slot; it is reported and its lines, not word for word the same, stay."""
+    rows = [(i, f"Share this page with {'abcdefghij'[i] * 5} now\nown text {'klmnopqrst'[i] * 9}\nThe very same line", "en", "s") for i in range(10)]
+    got = {(r.template, r.slots, r.docs) for r in line_templates(docs_of(rows)).collect()}
+    assert ("sharethispagewi*thnow" in {t for t, _, _ in got}) or any(s and t.startswith("sharethisp") and d == 10 for t, s, d in got)
+    assert ("theverysameline", 0, 10) in got
+    assert {(r.doc_id, r.line_no) for r in repeated_lines(docs_of(rows)).collect()} == {(i, 2) for i in range(10)}
+
+
+def test_both_ways_to_remove(docs_of, monkeypatch):
+    rows = [(i, f"own {i}\nThe same closing line\nend {i}\r\n", "en", "s") for i in range(5)] + [(9, None, "en", "s"), (10, "The same closing line", None, None)]
+    want = sorted(map(tuple, without_repeated_lines(docs_of(rows)).collect()))
+    monkeypatch.setattr(R, "MOST_LINES", 0)
+    assert sorted(map(tuple, without_repeated_lines(docs_of(rows)).collect())) == want and (10, "The same closing line") in want
