@@ -57,3 +57,29 @@ def test_most_rows_repetitive(docs_of):
 
 def test_empty(spark):
     assert R.repetitive(spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")).count() == 0
+
+
+def test_corpus_of_repetition(docs_of):
+    """Where nearly every text repeats itself, the estimates' centres are there, and still none of these texts passes."""
+    rows = [(i, " ".join([f"spam {i} again and again we say so {'x' * (i % 7)}"] * (4 + i % 9)), "en", "a") for i in range(120)] + [(900, "one short clean text of its own", "en", "a")]
+    rows += [(1000 + i, " ".join([f"a tiny group number {i} says the same thing over"] * 5), "xx", f"s{i}") for i in range(3)]
+    share = {r.doc_id: r.share for r in R.repetition(docs_of(rows)).collect()}
+    assert {r.doc_id for r in R.repetitive(docs_of(rows)).collect()} == {i for i, s in share.items() if s >= 0.5} and sum(s >= 0.5 for s in share.values()) > 100
+
+
+def test_estimates_reject_by_the_group(docs_of):
+    """The same vector may be far from the centre of a narrow group and near that of a wide one."""
+    clean = lambda i, n: [f"v{(i * 37 + k * k) % 997}" for k in range(n)]
+    some = lambda i, n: " ".join(clean(i, 100) + clean(i, n))
+    rows = [(i, some(i, 0), "en", "narrow") for i in range(200)] + [(1000 + i, some(i, (i * 7) % 60), "en", "wide") for i in range(200)]
+    rows += [(5000, some(3, 25), "en", "narrow"), (5001, some(3, 25), "en", "wide")]
+    got = {r.doc_id: r.outlier for r in R.repetition(docs_of(rows)).collect()}
+    assert got[5000] and not got[5001]
+
+
+def test_concentration_finds_the_clean_half(docs_of):
+    """A third of far outliers doesn't move the centre."""
+    clean = lambda i: " ".join(f"w{(i * 31 + k * k) % 991}" for k in range(60))
+    rows = [(i, clean(i), "en", "a") for i in range(100)] + [(500 + i, " ".join([f"spam {i} again and again we say so"] * 10), "en", "a") for i in range(50)]
+    est = {r.grp: r for r in R.robust_estimates(R.repetition_statistics(docs_of(rows))).collect()}
+    assert est["en|a"].m0 < 0.01 and est["en|a"].n == 150
