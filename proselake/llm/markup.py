@@ -1,11 +1,14 @@
 """Markup residue in text documents: which kinds a text holds, and clean text with its structure.
 
-Texts are cut into blocks at blank lines, code blocks kept whole. Two passes label the blocks. In the first, each
-block is measured (length, density of stop words, density of links, certain and uncertain signs of each kind of
-markup) and is decided where the measures are clear: prose, boilerplate (short on stop words, full of links) or markup
-of certain kinds. In the second, short blocks that were left ambiguous (a row of dashes under a line, a lone starred
-phrase, a line that may be a heading) take the labels of the nearest decided blocks before and after: an uncertain
-sign counts for a kind only where such a neighbour is of that kind. What a code block shows is not looked at.
+Texts are cut into blocks at blank lines, code blocks kept whole. Signs of markup are of two sorts: certain ones, and
+uncertain ones that plain text also has (a starred or underscored phrase, a line above a row of dashes). Two passes
+label the blocks and decide the uncertain signs. In the first, each block is measured (length, density of stop words,
+density of links) and is decided where the measures are clear: a block with a certain sign is markup, or boilerplate if
+it is nearly all links and has few stop words; running text, long and rich in stop words, is prose, and a phrase set
+off by stars or underscores in it is emphasis, while a row of dashes below it is only a rule. In the second, blocks
+left ambiguous take the label of the nearest decided blocks before and after: between blocks of which one is markup, an
+uncertain sign counts as markdown, between prose it doesn't; a short block with boilerplate on both sides is boilerplate.
+What a code block shows is not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from proselake.llm.repetition import UNSPACED
+
 # Names of HTML elements (without those of one letter that serve as special tokens).
 ELEMENTS = (
     "html head title body base link meta style script noscript template section nav article aside header footer address main h1 h2 h3 h4 h5 h6 hgroup "
@@ -33,6 +38,8 @@ STOP_WORDS = frozenset(
     "dans pour sur el los las y una del al era con por para sin no se su que en и в на не что с по из у за к от до как это он она они о "
     "का के की है था में से को और ने पर पास في من على إلى عن مع كان التي الذي هذا لم ما".split()
 )
+# Frequent particles and words of scripts without spaces.
+UNSPACED_STOP_WORDS = ("的", "了", "是", "在", "我", "不", "他", "这", "の", "は", "が", "を", "に", "で", "と", "も", "และ", "ที่", "ใน", "ไม่", "ของ", "ว่า")
 _TAG = "|".join(sorted(ELEMENTS, key=len, reverse=True))
 HTML = re.compile(
     rf"<!--|<!DOCTYPE|<!\[CDATA\[|</?(?:{_TAG})(?:\s[^<>]*)?/?>|</?(?:{_TAG})\s+[\w-]+\s*=[^<>]*$|</?(?:{_TAG})\s*\Z|<[a-z][a-z0-9]*\s+(?:class|href|src|id|style)\s*=|&lt;/?(?:{_TAG})\b|&lt;!--"
@@ -45,8 +52,8 @@ MARKDOWN = re.compile(
     r"|^ {0,3}\|?(?: *:?-{3,}:? *\|)+ *:?-* *\|? *$|^\[[^\]\n]+\]: +\S+|^ *[-*+] \[[ xX]\] |~~[^~\n]+~~|^\[\^[^\]\n]+\]:|(?<!\[)\[[^\[\]\n]+\]\((?:/|https?:)[^\s)]*\Z",
     re.M,
 )
-SETEXT = re.compile(r"^(?=[^\n]*[^\W\d_])(?!\s*[|>#=*-])[^\n]{1,120}\n={3,}[ \t]*$", re.M)
-SETEXT_DASHES = re.compile(r"^(?=[^\n]*[^\W\d_])(?!\s*[|>#=*-])[^\n]{1,120}\n-{3,}[ \t]*$", re.M)
+SETEXT = re.compile(r"^(?=[^\n]*[^\W\d_])(?!\s*[|>#=*-])[^\n]+\n={3,}[ \t]*$", re.M)
+SETEXT_DASHES = re.compile(r"^(?=[^\n]*[^\W\d_])(?!\s*[|>#=*-])([^\n]+)\n-{3,}[ \t]*$", re.M)
 STARRED = re.compile(r"(?<![\w*])\*(?![\s*])[^*\n]+(?<![\s*])\*(?![\w*])|(?<![\w_])_(?![\s_])[^_\n]+(?<![\s_])_(?![\w_])")
 WIKI = re.compile(
     r"\[\[(?!\s*(?:INSERT|YOUR)\b)[^\[\]\n]+(?:\]\]|\Z)|'''?(?=[^\s'])[^'\n]+(?:'[^'\n]+)*'''?|^(={2,6}) *[^=\n]+? *\1[ \t]*$|^\{\||^\|\}|^\|-[ \t]*$|\{\{[A-Za-z][^{}|\n]*\|[^{}]*(?:\}\}|\Z)|<ref\b|</ref>|^__(?:NO)?TOC__|^#REDIRECT\b|(?<!\[)\[https?://\S+ [^\]\n]+\](?!\()",
@@ -113,7 +120,10 @@ def measure(block: str) -> Block:
     """First pass: a block with its measures, its certain and uncertain signs, and its label if these decide it."""
     words = re.findall(r"[^\W\d_]+", block.lower())
     b = Block(block, len(words))
-    b.stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    stop = sum(w in STOP_WORDS for w in words)
+    if not block.isascii() and 2 * (letters := len(UNSPACED.findall(block))) > sum(map(len, words)):
+        b.words, stop = letters // 2, sum(map(block.count, UNSPACED_STOP_WORDS))  # a word of two characters
+    b.stop = stop / b.words if b.words else 0.0
     b.links = sum(len(m.group(0)) for m in LINK.finditer(block)) / max(1, len(block)) if "[" in block or "<a" in block or "http" in block else 0.0
     if HTML_HINT.search(block) and HTML.search(block):
         b.kinds.add("html")
@@ -123,7 +133,10 @@ def measure(block: str) -> Block:
         b.kinds.add("wiki")
     if ("\\" in block or "$" in block) and LATEX.search(block):
         b.kinds.add("latex")
-    if "---" in block and SETEXT_DASHES.search(block) or ("*" in block or "_" in block) and STARRED.search(block):
+    running = b.words >= SHORT and b.stop >= STOP_DENSITY
+    if ("*" in block or "_" in block) and STARRED.search(block):
+        (b.kinds if running else b.unsure).add("markdown")
+    if "---" in block and any(_title(m.group(1)) for m in SETEXT_DASHES.finditer(block)):
         b.unsure.add("markdown")
     if b.kinds:
         b.label = "boilerplate" if b.links > LINK_DENSITY and b.stop < STOP_DENSITY and b.words >= 3 else "markup"
@@ -132,24 +145,29 @@ def measure(block: str) -> Block:
     return b
 
 
+def _title(line: str) -> bool:
+    """Whether a line above a row of dashes may be a heading: short or without the stop words of running text."""
+    words = re.findall(r"[^\W\d_]+", line.lower())
+    return len(words) < SHORT or sum(w in STOP_WORDS for w in words) < STOP_DENSITY * len(words)
+
+
 def blocks_of(text: str) -> tuple[list[Block], set[str]]:
     """Both passes: the labelled blocks of a text, and the kinds of its code blocks' marks."""
     body, kinds = strip_code(text.replace("\r\n", "\n").replace("\r", "\n"))
     body = BOOK_MARK.sub(" ", PLACEHOLDER.sub(" ", TOKENS.sub(" ", body)))
     blocks = [measure(x) for x in re.split(r"\n[ \t]*\n", body) if x.strip()]
-    decided = [i for i, b in enumerate(blocks) if b.label and not (b.label == "prose" and b.words < SHORT)]
-    marked = [i for i in decided if blocks[i].kinds]
-    at = 0
-    for i, b in enumerate(blocks):
-        if b.label and not b.unsure:
-            continue
-        while at < len(marked) and marked[at] < i:
-            at += 1
-        near = [blocks[j] for j in marked[max(0, at - 1) : at + 2] if j != i]
-        for n in near:
-            b.kinds |= b.unsure & n.kinds
+    first = [b.label for b in blocks]
+    before, after, last = [""] * len(blocks), [""] * len(blocks), ""
+    for i, label in enumerate(first):
+        before[i], last = last, label or last
+    last = ""
+    for i in range(len(blocks) - 1, -1, -1):
+        after[i], last = last, first[i] or last
+    for b, x, y in zip(blocks, before, after):
+        if b.unsure and "markup" in (x, y, b.label):
+            b.kinds |= b.unsure
         if not b.label:
-            b.label = "markup" if b.kinds else "prose"
+            b.label = "markup" if b.kinds else "boilerplate" if x == y == "boilerplate" and b.words < SHORT else "prose"
     return blocks, kinds
 
 

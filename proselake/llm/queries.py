@@ -19,24 +19,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the finite values of each metric and corpus, for each day of measured_at (span day) and for all days
+    """Percentiles of the finite values of each metric and corpus with their bound on the relative error, for each day of measured_at (span day) and for all days
     together (span all). The whole comes from the merged sketches of the days, not from the values again."""
     f = table(spark, sf_dir, "findings").select("value", *P6_KEYS, F.to_date("measured_at").alias("day"))
     days = materialize(percentiles.sketch(f, [*P6_KEYS, "day"]))
     each = percentiles.percentiles(days, [*P6_KEYS, "day"]).withColumn("span", F.lit("day"))
     whole = percentiles.percentiles(percentiles.merge(days, P6_KEYS), P6_KEYS).withColumns({"day": F.lit(None).cast("date"), "span": F.lit("all")})
-    return each.unionByName(whole).select(*P6_KEYS, "span", "day", "q", "n", _rounded("value").alias("value"))
+    return each.unionByName(whole).select(*P6_KEYS, "span", "day", "q", "n", _rounded("value").alias("value"), F.lit(percentiles.ACCURACY).alias("rel_error"))
 
 
 def p6_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentiles of all days from one sketch of all values."""
     p = percentiles.percentiles(percentiles.sketch(table(spark, sf_dir, "findings").select("value", *P6_KEYS), P6_KEYS), P6_KEYS)
-    return p.select(*P6_KEYS, "q", "n", _rounded("value").alias("value"))
+    return p.select(*P6_KEYS, "q", "n", _rounded("value").alias("value"), F.lit(percentiles.ACCURACY).alias("rel_error"))
 
 
 def _rounded(c: str):
-    """Eight significant digits as text, for comparisons across engines."""
-    return F.format_string("%.7e", F.col(c))
+    """Eight significant digits, for comparisons across engines."""
+    return F.format_string("%.7e", F.col(c)).cast("double")
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: lookalike.lookalike_pairs(_docs(s, d)),
         "p7_normalized": lambda s, d: lookalike.normalized(_docs(s, d)).select("doc_id", "text"),
         "p7_classes": lambda s, d: lookalike.look_classes(_docs(s, d)).select("doc_id", F.hex("look_hash").alias("look"), "variants", "links"),
-        "p8_ids": lambda s, d: bpe.token_ids(_docs(s, d)),
+        "p8_ids": lambda s, d: bpe.token_ids(_docs(s, d), s.conf.get("spark.proselake.vocabulary", bpe.VOCABULARY)),
         "p9_found": lambda s, d: mixing.short_sources(_docs(s, d), table(s, d, "mix_targets")),
         "p9_report": p9_report,
         "p9_draw": p9_draw,
@@ -100,7 +100,7 @@ def _p6_sql(keys: str, rows: str, more: str) -> str:
 c AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM b WINDOW w AS (PARTITION BY {keys} ORDER BY sgn, sgn * bucket)),
 q AS (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q)
 SELECT metric_id, corpus, {more} q, CAST(total AS BIGINT) AS n,
-       format('{{:.7e}}', CASE WHEN sgn = 0 THEN 0.0 ELSE sgn * (2 / (1.01 / 0.99 + 1)) * pow(1.01::DOUBLE / 0.99, bucket) END) AS value
+       CAST(format('{{:.7e}}', CASE WHEN sgn = 0 THEN 0.0 ELSE sgn * (2 / (1.01 / 0.99 + 1)) * pow(1.01::DOUBLE / 0.99, bucket) END) AS DOUBLE) AS value, CAST(0.01 AS DOUBLE) AS rel_error
 FROM c, q WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n)"""
 
 

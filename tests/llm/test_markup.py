@@ -42,6 +42,35 @@ def test_ambiguous_sign_takes_its_neighbours_label():
     assert M.kinds_of("Line of a letter\n-----\nand more of it") == set()
 
 
+PROSE = "It was the end of the day and she had been on the road to the mill with his letter in her hand for an hour"
+
+
+def test_measures_decide_uncertain_signs(monkeypatch):
+    """A starred phrase in running text is emphasis, in a short line between prose it is not; without the measures nothing is decided."""
+    running, lone = f"{PROSE}, and it *was not* for him.", f"{PROSE}.\n\n*was not*\n\n{PROSE}."
+    assert M.kinds_of(running) == {"markdown"} and M.kinds_of(lone) == set()
+    monkeypatch.setattr(M, "STOP_DENSITY", 2.0)
+    assert M.kinds_of(running) == set()
+
+
+def test_neighbours_decide_short_blocks():
+    """The same short block counts beside markup, and doesn't between prose nearer than the markup."""
+    head = "Maybe heading\n-----"
+    assert M.kinds_of(f"so $x_1^2$ holds\n\n{head}\n\n{PROSE}.") == {"latex", "markdown"}
+    assert M.kinds_of(f"so $x_1^2$ holds\n\n{PROSE}.\n\n{head}\n\n{PROSE}.") == {"latex"}
+    assert M.kinds_of(f"{PROSE}\n-----\n\n# Heading") == {"markdown"} and M.kinds_of(f"{PROSE}\n-----") == set()
+
+
+def test_boilerplate_between_boilerplate_is_dropped():
+    nav = "[Home page](/a) [Archive page](/b) [Contact page](/c)"
+    assert M.clean(f"{nav}\n\nMenu\n\n{nav}\n\n{PROSE}.") == f"{PROSE}."
+    assert "Menu" in M.clean(f"{PROSE}.\n\nMenu\n\n{nav}")
+
+
+def test_headings_of_any_length():
+    assert M.kinds_of("Long title " * 40 + "\n=====\n\ntext") == {"markdown"}
+
+
 def test_clean_keeps_structure():
     t = "# Title\n\n<p>One <b>two</b> &amp; three</p>\n\n- item\n\n```\ncode **as is**\n```\n\n\\[ a_1 = b \\]\n\n[link](x) and [[Page|words]]"
     c = M.clean(t)
