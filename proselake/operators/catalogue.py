@@ -88,7 +88,7 @@ def catalogue_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COUNTS = f"""WITH {BODY}, q AS (SELECT doc_id, regexp_extract_all(regexp_replace(body, '{QUOTED_SQL}', '', 'g'), '{WORD_SQL}') AS ws FROM b), t AS (SELECT doc_id, list_transform(ws, lambda x: replace(lower(x), '’', '''')) AS t FROM q),
-c AS (SELECT doc_id, len(list_filter(t, lambda x: x IN {sql_list(FIRST)})) AS f, len(list_filter(t, lambda x: x IN {sql_list(THIRD)})) AS th, len(list_filter(t, lambda x: x IN {sql_list(PAST)})) AS p0, len(list_filter(t, lambda x: x LIKE '%ed' AND length(x) > 3)) AS ed, len(list_filter(t, lambda x: x IN {sql_list(PRESENT)})) AS pr FROM t),
+c AS (SELECT doc_id, len(list_filter(t, lambda x: x IN {sql_list(FIRST)})) AS f, len(list_filter(t, lambda x: x IN {sql_list(THIRD)})) AS th, len(list_filter(t, lambda x: x IN {sql_list(PAST)})) AS p0, len(list_filter(t, lambda x: x LIKE '%ed' AND length(x) > 4)) AS ed, len(list_filter(t, lambda x: x IN {sql_list(PRESENT)})) AS pr FROM t),
 d AS (SELECT *, p0 + least(ed, greatest(50, 2 * p0)) AS pa FROM c)"""
 
 
@@ -102,7 +102,7 @@ d AS (SELECT *, p0 + least(ed, greatest(50, 2 * p0)) AS pa FROM c)"""
 def text_narrator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narrator's person and tense outside quotations, from pronouns and verb forms."""
     n = arrays(docs(spark, sf_dir), want="").select("doc_id", T.tokens(T.narration(F.col("body"))).alias("t"))
-    c = n.select("doc_id", count_words(F.col("t"), FIRST).alias("f"), count_words(F.col("t"), THIRD).alias("th"), count_words(F.col("t"), PAST).alias("p0"), F.size(F.filter("t", lambda x: x.endswith("ed") & (F.length(x) > 3))).alias("ed"), count_words(F.col("t"), PRESENT).alias("pr"))
+    c = n.select("doc_id", count_words(F.col("t"), FIRST).alias("f"), count_words(F.col("t"), THIRD).alias("th"), count_words(F.col("t"), PAST).alias("p0"), F.size(F.filter("t", lambda x: x.endswith("ed") & (F.length(x) > 4))).alias("ed"), count_words(F.col("t"), PRESENT).alias("pr"))
     c = c.withColumn("pa", F.col("p0") + F.least(F.col("ed"), F.greatest(F.lit(50), 2 * F.col("p0"))))
     share, past = F.col("f") / (F.col("f") + F.col("th")), F.col("pa") / (F.col("pa") + F.col("pr"))
     few, few2 = F.col("f") + F.col("th") < 40, F.col("pa") + F.col("pr") < 60

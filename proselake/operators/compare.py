@@ -34,31 +34,20 @@ def findings_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_stats(dist: DataFrame) -> DataFrame:
-    """(profile, metric_id, n, vals, median, lo, hi, p10, p25, p75, p90, mad, low_mad, high_mad, sd): vals are the sorted values.
-
-    Reference profiles hold one value for each of their observations, so vals is as long as the profile has texts.
-    """
-    s = dist.where(stats.finite("value")).groupBy("profile", "metric_id").agg(F.sort_array(F.collect_list("value")).alias("vals"), stats.quantiles("value", (0.1, 0.25, 0.5, 0.75, 0.9)).alias("q"), F.stddev_pop("value").alias("sd"))
-    s = s.withColumn("median", F.col("q")[2])
-    dev = lambda a: F.array_sort(F.transform(a, lambda v: F.abs(v - F.col("median"))))
-    low, high = F.filter("vals", lambda v: v <= F.col("median")), F.filter("vals", lambda v: v >= F.col("median"))
-    s = s.select(
-        "profile", "metric_id", "vals", F.size("vals").alias("n"), "median", F.element_at("vals", 1).alias("lo"), F.element_at("vals", -1).alias("hi"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p25"), F.col("q")[3].alias("p75"),
-        F.col("q")[4].alias("p90"), "sd", dev(F.col("vals")).alias("d"), dev(low).alias("dl"), dev(high).alias("dh"),
-    )
-    s = s.select(*[c for c in s.columns if c not in ("d", "dl", "dh")], mid("d").alias("mad"), mid("dl").alias("__l"), mid("dh").alias("__h"), F.size("dl").alias("__nl"), F.size("dh").alias("__nh"))
+    """(profile, metric_id, n, median, lo, hi, p10, p25, p75, p90, mad, low_mad, high_mad, sd) of the finite values."""
+    by = ["profile", "metric_id"]
+    d = dist.where(stats.finite("value")).select(*by, "value")
+    s = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), stats.quantiles("value", (0.1, 0.25, 0.5, 0.75, 0.9)).alias("q"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    s = s.select(*by, "n", F.col("q")[2].alias("median"), "lo", "hi", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p25"), F.col("q")[3].alias("p75"), F.col("q")[4].alias("p90"), "sd")
+    off = F.abs(F.col("value") - F.col("median"))
+    low, high = F.col("value") <= F.col("median"), F.col("value") >= F.col("median")
+    mid = lambda c: F.percentile(c, F.lit(0.5))
+    e = d.join(s.select(*by, "median"), by).groupBy(*by).agg(mid(off).alias("mad"), mid(F.when(low, off)).alias("l"), mid(F.when(high, off)).alias("h"), F.count(F.when(low, 1)).alias("nl"), F.count(F.when(high, 1)).alias("nh"))
     or_ = lambda a, b: F.when(a > 0, a).otherwise(b)
-    l1 = F.when(F.col("__nl") < MIN_SIDE, or_(F.col("__h"), F.col("__l"))).otherwise(F.col("__l"))
-    s = s.withColumn("low_mad", l1)
-    h1 = F.when(F.col("__nh") < MIN_SIDE, or_(F.col("low_mad"), F.col("__h"))).otherwise(F.col("__h"))
-    return s.withColumn("high_mad", h1).drop("__l", "__h", "__nl", "__nh")
-
-
-def mid(a: str) -> Column:
-    """Median of a sorted array."""
-    n = F.size(a)
-    half = F.floor((n - 1) / 2).cast("int")
-    return F.when(n > 0, (F.get(F.col(a), half) + F.get(F.col(a), F.floor(n / 2).cast("int"))) / 2.0)
+    # a side of too few values takes the other's scale
+    e = e.withColumn("low_mad", F.when(F.col("nl") < MIN_SIDE, or_(F.col("h"), F.col("l"))).otherwise(F.col("l")))
+    e = e.withColumn("high_mad", F.when(F.col("nh") < MIN_SIDE, or_(F.col("low_mad"), F.col("h"))).otherwise(F.col("h")))
+    return s.join(e.select(*by, "mad", "low_mad", "high_mad"), by)
 
 
 STATS_SQL = f"""cd AS (SELECT profile, metric_id, obs_id, value FROM corpus_dist WHERE value IS NOT NULL AND isfinite(value)),
@@ -79,11 +68,15 @@ def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("profile", "metric_id", F.col("n").cast("bigint").alias("n"), *(sig(c).alias(c) for c in ("median", "lo", "hi", "p10", "p25", "p75", "p90", "mad", "low_mad", "high_mad", "sd")))
 
 
-def below(vals: Column, v: Column, equal: bool) -> Column:
-    """How many of a sorted array lie below v (or equal to it): a binary search of 21 steps, enough for two million values."""
-    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
-    inside = lambda e: (e <= v) if equal else (e < v)
-    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when((at + s <= F.size(vals)) & F.coalesce(inside(F.get(vals, at + s - 1)), F.lit(False)), s).otherwise(0))
+def located(points: DataFrame, dist: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys + (x, lt, le) of each different value among the points: how many values of dist lie below it, and below or at it.
+
+    Points and values are counted together by slices of the real line, so that neither a distribution nor a group of
+    points is ever in one row or task.
+    """
+    both = dist.select(*keys, x, F.lit(1).alias("k")).unionByName(points.select(*keys, x).distinct().withColumn("k", F.lit(0)))
+    c = cumulative(both, keys, x, {"k": F.col("k")})
+    return c.select(*keys, x, (F.col("upto_k") - F.col("k")).alias("lt"), F.col("upto_k").alias("le"))
 
 
 def compare(findings: DataFrame, dist: DataFrame) -> DataFrame:
@@ -93,11 +86,12 @@ def compare(findings: DataFrame, dist: DataFrame) -> DataFrame:
     median a value lies on; without spread there the pooled one, then quartiles, then the range; a constant
     distribution takes only its own value.
     """
-    s = broadcast_if_small(corpus_stats(dist).withColumnRenamed("profile", "corpus"), 20_000)
+    s = broadcast_if_small(corpus_stats(dist).withColumnRenamed("profile", "corpus"))
     f = findings.where(stats.finite("value")).join(s, ["corpus", "metric_id"])
     v, med = F.col("value"), F.col("median")
-    f = f.withColumn("lt", below(F.col("vals"), v, False)).withColumn("le", below(F.col("vals"), v, True))
-    f = f.withColumn("percentile", 100.0 * (F.col("lt") + 0.5 * (F.col("le") - F.col("lt"))) / F.col("n")).withColumn("side", F.when(v > med, F.col("high_mad")).otherwise(F.col("low_mad"))).drop("vals")
+    values = dist.where(stats.finite("value")).select(F.col("profile").alias("corpus"), "metric_id", "value")
+    f = f.join(located(f, values, ["corpus", "metric_id"], "value"), ["corpus", "metric_id", "value"])
+    f = f.withColumn("percentile", 100.0 * (F.col("lt") + 0.5 * (F.col("le") - F.col("lt"))) / F.col("n")).withColumn("side", F.when(v > med, F.col("high_mad")).otherwise(F.col("low_mad")))
     iqr, span = F.col("p75") - F.col("p25"), F.col("hi") - F.col("lo")
     method = F.when(F.col("side") > 0, "median/double-MAD").when(F.col("mad") > 0, "median/MAD").when(iqr > 0, "median/IQR").when(span != 0, "empirical percentile").otherwise("constant")
     f = f.withColumn("method", method)
@@ -193,22 +187,23 @@ def compare_typicality(spark: SparkSession, sf_dir: str) -> DataFrame:
     dm = c.groupBy("doc_id", "corpus", "family", "metric_id").agg(F.avg("percentile").alias("p"))
     da = dm.groupBy("doc_id", "corpus", "family").agg(F.avg(F.abs(F.col("p") - 50) / 50).alias("a")).groupBy("doc_id", "corpus").agg(F.avg("a").alias("atypicality"), F.count(F.lit(1)).alias("families"))
     family = table(spark, sf_dir, "findings").where("family is not null").select("metric_id", "family").distinct()
-    d = held_out_atypicality(table(spark, sf_dir, "corpus_dist")).join(F.broadcast(family), "metric_id")
-    lo = d.groupBy("profile", "obs_id", "family").agg(F.avg("a").alias("a")).groupBy("profile", "obs_id").agg(F.avg("a").alias("a"))
-    ref = lo.groupBy(F.col("profile").alias("corpus")).agg(F.sort_array(F.collect_list(F.round("a", 9))).alias("vals")).where(F.size("vals") >= 10)
-    j = da.join(broadcast_if_small(ref, 20_000), "corpus").withColumn("x", F.round("atypicality", 9))
-    n, lt, le = F.size("vals"), below(F.col("vals"), F.col("x"), False), below(F.col("vals"), F.col("x"), True)
-    return j.select("doc_id", "corpus", F.round("atypicality", 9).alias("atypicality"), "families", r6(100.0 * (n - le + 0.5 * (le - lt)) / n).alias("score"))
+    d = held_out_atypicality(table(spark, sf_dir, "corpus_dist")).join(broadcast_if_small(family), "metric_id")
+    lo = d.groupBy("profile", "obs_id", "family").agg(F.avg("a").alias("a")).groupBy("profile", "obs_id").agg(F.round(F.avg("a"), 9).alias("x"))
+    ref = lo.select(F.col("profile").alias("corpus"), "x")
+    sizes = ref.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    da = da.withColumn("x", F.round("atypicality", 9))
+    j = da.join(located(da, ref, ["corpus"], "x"), ["corpus", "x"]).join(broadcast_if_small(sizes), "corpus")
+    return j.select("doc_id", "corpus", F.col("x").alias("atypicality"), "families", r6(100.0 * (F.col("n") - F.col("le") + 0.5 * (F.col("le") - F.col("lt"))) / F.col("n")).alias("score"))
 
 
 def held_out_atypicality(dist: DataFrame) -> DataFrame:
     """(profile, metric_id, obs_id, a): distance of each observation's midrank among the others from the middle."""
     by = ["profile", "metric_id"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "value"))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy("value"))
-    p = 100.0 * (rank - 1 + 0.5 * (ties - 1)) / (n - 1)
-    return dist.where(stats.finite("value")).select(*by, "obs_id", (F.abs(p - 50) / 50).alias("a"))
+    d = dist.where(stats.finite("value")).select(*by, "obs_id", "value")
+    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    c = cumulative(d, by, "value", {"k": F.lit(1)}).join(n, by)
+    p = c.select(*by, "value", (100.0 * (F.col("upto_k") - F.col("k") + 0.5 * (F.col("k") - 1)) / (F.col("n") - 1)).alias("p"))
+    return d.join(p, [*by, "value"]).select(*by, "obs_id", (F.abs(F.col("p") - 50) / 50).alias("a"))
 
 
 @query(
@@ -217,13 +212,30 @@ def held_out_atypicality(dist: DataFrame) -> DataFrame:
 SELECT profile, metric_id, count(*) AS n, count(*) FILTER (abs(value - med) * {stats.IQR_TO_SIGMA} > {OUTLIER} * iqr) AS flagged FROM a WHERE iqr > 0 GROUP BY ALL""",
 )
 def corpus_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a profile's texts, each held out, would be flagged by the quartile scale of the rest. Profiles are small tables of a value for each text."""
-    d = table(spark, sf_dir, "corpus_dist").where(stats.finite("value")).select("profile", "metric_id", "obs_id", "value")
-    o = d.select("profile", "metric_id", F.col("obs_id").alias("o"), F.col("value").alias("v"))
-    a = d.join(o, ["profile", "metric_id"]).where("obs_id <> o").groupBy("profile", "metric_id", "obs_id", "value").agg(stats.quantiles("v", (0.25, 0.5, 0.75)).alias("q"))
-    a = a.withColumn("iqr", F.col("q")[2] - F.col("q")[0]).where("iqr > 0")
-    flag = F.abs(F.col("value") - F.col("q")[1]) * stats.IQR_TO_SIGMA > OUTLIER * F.col("iqr")
-    return a.groupBy("profile", "metric_id").agg(F.count(F.lit(1)).alias("n"), F.sum(flag.cast("int")).alias("flagged"))
+    """How many of a profile's texts, each held out, would be flagged by the quartile scale of the rest.
+
+    Without the value at place i, the value at place j of the rest is the one at j, or at j + 1 from i on; so three values
+    about each quartile of the whole give the quartiles of every rest.
+    """
+    by = ["profile", "metric_id"]
+    d = table(spark, sf_dir, "corpus_dist").where(stats.finite("value")).select(*by, "value")
+    c = cumulative(d, by, "value", {"k": F.lit(1)}).withColumn("first", F.col("upto_k") - F.col("k"))
+    n = c.groupBy(*by).agg(F.sum("k").alias("n")).where("n >= 2")
+    c = c.join(n, by)
+    place = lambda q: F.floor((F.col("n") - 2) * q)
+    here = lambda r: (F.col("first") <= r) & (r < F.col("upto_k"))
+    about = c.groupBy(*by).agg(*(F.max(F.when(here(place(q) + m), F.col("value"))).alias(f"s{int(100 * q)}_{m}") for q in (0.25, 0.5, 0.75) for m in range(3)))
+    c = c.join(about, by)
+
+    def rest(q: float) -> Column:
+        s = [F.col(f"s{int(100 * q)}_{m}") for m in range(3)]
+        a, b = (F.when(place(q) + m < F.col("first"), s[m]).otherwise(s[m + 1]) for m in range(2))
+        part = (F.col("n") - 2) * q - place(q)
+        return F.when(part > 0, a + (b - a) * part).otherwise(a)
+
+    c = c.select(*by, "value", "k", rest(0.5).alias("med"), (rest(0.75) - rest(0.25)).alias("iqr")).where("iqr > 0")
+    flag = F.abs(F.col("value") - F.col("med")) * stats.IQR_TO_SIGMA > OUTLIER * F.col("iqr")
+    return c.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.when(flag, F.col("k")).otherwise(0)).alias("flagged"))
 
 
 @query(
@@ -335,14 +347,14 @@ _SUMMARY = ("mean", "median", "sd", "min", "max", "p10", "p25", "p75", "p90", "i
 
 @query(
     "stats_summary",
-    f"""WITH {LATEST}, x AS (SELECT metric_id, value AS v FROM latest WHERE value IS NOT NULL AND isfinite(value) AND abs(value) < 1e6),
+    f"""WITH {LATEST}, x AS (SELECT metric_id, value AS v FROM latest WHERE value IS NOT NULL AND isfinite(value)),
 s AS (SELECT metric_id, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS sd, min(v) AS min, max(v) AS max, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM x GROUP BY ALL),
 m AS (SELECT metric_id, quantile_cont(abs(v - median), 0.5) AS mad FROM x JOIN s USING (metric_id) GROUP BY ALL)
 SELECT metric_id, n, {', '.join(f'{_sig_sql(c)} AS {c}' for c in _SUMMARY)} FROM s JOIN m USING (metric_id)""",
 )
 def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary statistics of each metric's values below a million."""
-    f = latest_findings(table(spark, sf_dir, "findings")).where(stats.finite("value") & (F.abs("value") < 1e6))
+    """Summary statistics of each metric's finite values."""
+    f = latest_findings(table(spark, sf_dir, "findings")).where(stats.finite("value"))
     return stats.summarize(f, ["metric_id"], "value").select("metric_id", "n", *(sig(c).alias(c) for c in _SUMMARY))
 
 

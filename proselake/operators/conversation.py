@@ -48,20 +48,21 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "conversation_structure",
-    rf"""WITH {TURNS}, l AS (SELECT *, lead(speaker) OVER w AS nxt, text LIKE '%?%' AS q, row_number() OVER w AS k, lead(turn_idx) OVER w AS nt FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY turn_idx))
+    rf"""WITH {TURNS}, l AS (SELECT *, lead(speaker) OVER w AS nxt, regexp_matches(text, '\?\s*$') AS q, row_number() OVER w AS k, lead(turn_idx) OVER w AS nt FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY turn_idx))
 SELECT doc_id, count(*) AS turns, round(100.0 * count(speaker) / count(*), 6) AS attribution_coverage, count(DISTINCT speaker) AS speakers,
  round(CASE WHEN count(*) FILTER (speaker IS NOT NULL AND nxt IS NOT NULL) > 0 THEN 100.0 * count(*) FILTER (speaker <> nxt) / count(*) FILTER (speaker IS NOT NULL AND nxt IS NOT NULL) END, 6) AS alternation_rate,
- count(*) FILTER (q) AS questions, count(*) FILTER (q AND nt IS NOT NULL AND speaker IS NOT NULL AND nxt IS NOT NULL AND speaker <> nxt) AS answered FROM l GROUP BY doc_id""",
+ count(*) FILTER (q) AS questions, count(*) FILTER (q AND nt IS NOT NULL AND coalesce(speaker <> nxt, TRUE)) AS answered FROM l GROUP BY doc_id""",
 )
 def conversation_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of attribution, alternation of speakers, questions and those another speaker follows."""
+    """Coverage of attribution, alternation of speakers, turns that end in a question and those of them that a turn of
+    another speaker follows; an unknown speaker counts as another."""
     w = Window.partitionBy("doc_id").orderBy("turn_idx")
-    l = _turns(spark, sf_dir).withColumn("nxt", F.lead("speaker").over(w)).withColumn("q", F.col("text").contains("?"))  # noqa: E741
+    l = _turns(spark, sf_dir).withColumn("nxt", F.lead("speaker").over(w)).withColumn("nt", F.lead("turn_idx").over(w)).withColumn("q", F.coalesce(F.col("text").rlike(r"\?\s*$"), F.lit(False)))  # noqa: E741
     both, other = F.col("speaker").isNotNull() & F.col("nxt").isNotNull(), F.col("speaker") != F.col("nxt")
     n = F.count(F.lit(1))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return l.groupBy("doc_id").agg(
-        n.alias("turns"), r6(100.0 * F.count("speaker") / n).alias("attribution_coverage"), F.countDistinct("speaker").alias("speakers"), r6(F.when(one(both) > 0, 100.0 * one(other) / one(both))).alias("alternation_rate"), one(F.col("q")).alias("questions"), one(F.col("q") & other).alias("answered")
+        n.alias("turns"), r6(100.0 * F.count("speaker") / n).alias("attribution_coverage"), F.countDistinct("speaker").alias("speakers"), r6(F.when(one(both) > 0, 100.0 * one(other) / one(both))).alias("alternation_rate"), one(F.col("q")).alias("questions"), one(F.col("q") & F.col("nt").isNotNull() & F.coalesce(other, F.lit(True))).alias("answered")
     )
 
 

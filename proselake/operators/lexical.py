@@ -98,14 +98,16 @@ def lexical_word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lexical_corpus_words",
-    f"""WITH {TOK}, c AS (SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY token), n AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS words FROM tok)
-SELECT token, tf, df, round(log10(1e6 * tf / words) + 3, 6) AS zipf FROM c, n WHERE df >= 2""",
+    f"""WITH {TOK}, c AS (SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY token), n AS (SELECT (SELECT count(*) FROM b) AS docs, count(*) AS words FROM tok)
+SELECT token, tf, df, round(log10(1e6 * tf / words) + 3, 6) AS zipf FROM c, n WHERE df >= ceil(0.5 * docs) ORDER BY tf DESC, token LIMIT 300""",
 )
 def lexical_corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the corpus in two documents or more: occurrences, documents and Zipf value."""
-    c = corpus_words(docs(spark, sf_dir))
-    words = c.agg(F.sum("tf").alias("words"))
-    return c.crossJoin(F.broadcast(words)).where("df >= 2").select("token", "tf", "df", r6(F.log10(1e6 * F.col("tf") / F.col("words")) + 3).alias("zipf"))
+    """The everyday vocabulary: of the words in half of the documents or more the 300 most frequent, with occurrences, documents and Zipf value."""
+    d = docs(spark, sf_dir)
+    c = corpus_words(d)
+    words = c.agg(F.sum("tf").alias("words")).crossJoin(d.agg(F.count(F.lit(1)).alias("docs")))  # one row
+    top = c.crossJoin(F.broadcast(words)).where("df >= ceil(0.5 * docs)").orderBy(F.desc("tf"), "token").limit(300)
+    return top.select("token", "tf", "df", r6(F.log10(1e6 * F.col("tf") / F.col("words")) + 3).alias("zipf"))
 
 
 def corpus_words(documents: DataFrame) -> DataFrame:
@@ -186,12 +188,15 @@ def lexical_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lexical_heaps",
     f"""WITH {TOK}, f AS (SELECT doc_id, i, CASE WHEN row_number() OVER (PARTITION BY doc_id, token ORDER BY i) = 1 THEN 1 ELSE 0 END AS new FROM tok),
 g AS (SELECT doc_id, ln(i + 1) AS x, ln(sum(new) OVER (PARTITION BY doc_id ORDER BY i)) AS y, i FROM f)
-SELECT doc_id, round(regr_slope(y, x), 5) AS heaps_exponent, round(regr_r2(y, x), 5) AS r2 FROM g WHERE (i + 1) % 50 = 0 GROUP BY doc_id HAVING count(*) >= 3""",
+SELECT doc_id, round(regr_slope(y, x), 5) AS heaps_exponent, round(regr_r2(y, x), 5) AS r2 FROM g JOIN (SELECT doc_id, n FROM (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id)) s USING (doc_id)
+WHERE n >= 100 AND (i + 1 = n OR i + 1 IN (SELECT greatest(50, CAST(floor(n * pow(k / 20.0::DOUBLE, 2)) AS BIGINT)) FROM range(1, 21) r(k))) GROUP BY doc_id HAVING count(*) >= 2""",
 )
 def lexical_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponent of vocabulary growth, fitted at every fiftieth word."""
+    """Exponent of vocabulary growth of documents of a hundred words or more, fitted at some twenty places that lie the wider apart the later."""
     t = tokens(docs(spark, sf_dir)).select("doc_id", "i", "token")
     t = t.withColumn("new", (F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("i")) == 1).cast("int"))
-    t = t.withColumn("y", F.log(F.sum("new").over(Window.partitionBy("doc_id").orderBy("i")))).withColumn("x", F.log(F.col("i") + 1.0)).where("(i + 1) % 50 = 0")
+    t = t.withColumn("y", F.log(F.sum("new").over(Window.partitionBy("doc_id").orderBy("i")))).withColumn("x", F.log(F.col("i") + 1.0)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    places = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.greatest(F.lit(50), F.floor(F.col("n") * F.pow(k / 20.0, F.lit(2.0))).cast("int")))
+    t = t.where("n >= 100").where((F.col("i") + 1 == F.col("n")) | F.array_contains(places, F.col("i").cast("int") + 1))
     g = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.round(F.regr_slope("y", "x"), 5).alias("heaps_exponent"), F.round(F.regr_r2("y", "x"), 5).alias("r2"))
-    return g.where("k >= 3").drop("k")
+    return g.where("k >= 2").drop("k")

@@ -60,14 +60,14 @@ def anomaly_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "feature_matrix",
-    f"""WITH {LATEST}, d AS (SELECT doc_id, metric_id, quantile_cont(value, 0.5) AS v FROM latest WHERE value IS NOT NULL AND isfinite(value) AND abs(value) < 1e6 GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM d),
+    f"""WITH {LATEST}, d AS (SELECT doc_id, metric_id, quantile_cont(value, 0.5) AS v FROM latest WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM d),
 c AS (SELECT metric_id, count(*) AS c, quantile_cont(v, 0.5) AS median FROM d GROUP BY metric_id), k AS (SELECT metric_id, median, c FROM c, n WHERE c >= 0.3 * n ORDER BY c DESC, metric_id LIMIT 20), m AS (SELECT d.metric_id, quantile_cont(abs(v - median), 0.5) AS mad FROM d JOIN k USING (metric_id) GROUP BY d.metric_id),
 i AS (SELECT DISTINCT doc_id FROM d)
 SELECT i.doc_id, k.metric_id, v IS NULL AS imputed, round(CASE WHEN mad > 0 THEN (coalesce(v, median) - median) / (1.4826 * mad) ELSE 0 END, 6) + 0.0 AS z FROM i CROSS JOIN k JOIN m USING (metric_id) LEFT JOIN d ON d.doc_id = i.doc_id AND d.metric_id = k.metric_id""",
 )
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised features of each document in long form: the twenty metrics with the widest coverage (the cap is the feature), missing ones at the median."""
-    f = latest_findings(table(spark, sf_dir, "findings")).where(stats.finite("value") & (F.abs("value") < 1e6))
+    f = latest_findings(table(spark, sf_dir, "findings")).where(stats.finite("value"))
     d = f.groupBy("doc_id", "metric_id").agg(F.percentile("value", F.lit(0.5)).alias("v"))
     n = d.agg(F.countDistinct("doc_id").alias("docs"))
     c = d.groupBy("metric_id").agg(F.count(F.lit(1)).alias("c"), F.percentile("v", F.lit(0.5)).alias("median")).crossJoin(F.broadcast(n)).where("c >= 0.3 * docs")
@@ -80,7 +80,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "metric_id", F.col("v").isNull().alias("imputed"), r6(z).alias("z"))
 
 
-SECTION = r"(?m)^[ \t]{0,3}#{1,6}[ \t]+([^\n]*)$|^((?:CHAPTER|BOOK|PART|Chapter|Book|Part)\b[ \t]+\S[^\n]{0,60})$"
+SECTION = r"(?m)^[ \t]{0,3}#{1,6}[ \t]+([^\n]*)$|^((?:CHAPTER|BOOK|PART|Chapter|Book|Part)\b[ \t]+\S[^\n]*)$"
 
 
 @query(
@@ -111,8 +111,9 @@ def view_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(docs(spark, sf_dir))
 
 
-def windows(documents: DataFrame, size: int = 200) -> DataFrame:
-    """(doc_id, win, n_words, text): paragraphs packed in order until a window holds size words; a remainder stays if it has a quarter of that or is alone."""
+def windows(documents: DataFrame, size: int = 2000) -> DataFrame:
+    """(doc_id, win, n_words, text): paragraphs packed in order until a window holds size words (200 at least); a remainder stays if it has a quarter of that or is alone."""
+    size = max(200, size)
     a = arrays(documents, want="ps").select("doc_id", "ps").where(F.size("ps") > 0)
     zero = F.struct(F.array().cast("array<struct<n:int,t:string>>").alias("done"), F.lit(0).alias("n"), F.lit("").alias("t"))
 
@@ -123,7 +124,7 @@ def windows(documents: DataFrame, size: int = 200) -> DataFrame:
         row = F.struct(n.alias("n"), t.alias("t"))
         return F.struct(F.when(full, F.concat(st["done"], F.array(row))).otherwise(st["done"]).alias("done"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, "").otherwise(t).alias("t"))
 
-    rest = lambda st: F.when((st["n"] > 0) & ((F.size(st["done"]) == 0) | (st["n"] * 4 >= size)), F.concat(st["done"], F.array(F.struct(st["n"].alias("n"), st["t"].alias("t"))))).otherwise(st["done"])
+    rest = lambda st: F.when((st["n"] > 0) & ((F.size(st["done"]) == 0) | (st["n"] >= size // 4)), F.concat(st["done"], F.array(F.struct(st["n"].alias("n"), st["t"].alias("t"))))).otherwise(st["done"])
     w = held(a.select("doc_id", F.aggregate("ps", zero, step, rest).alias("w")))
     return w.select("doc_id", F.posexplode("w").alias("win", "r")).select("doc_id", "win", F.col("r.n").alias("n_words"), F.col("r.t").alias("text"))
 
@@ -135,11 +136,12 @@ def lexical_mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mtld(documents: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """(doc_id, mtld) of documents of fifty words or more: words for each stretch whose type-token ratio falls to the threshold.
+    """(doc_id, mtld): words for each stretch whose type-token ratio falls to the threshold, of documents of two words or more;
+    null where no stretch falls at all in one of the two directions.
 
     The set of words seen is that of the current stretch only, which is short, so long texts take linear time.
     """
-    a = arrays(documents, want="toks").select("doc_id", "toks").where(F.size("toks") >= 50)
+    a = arrays(documents, want="toks").select("doc_id", "toks").where(F.size("toks") >= 2)
 
     def factors(toks):
         zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(0.0).alias("f"))
@@ -154,5 +156,5 @@ def mtld(documents: DataFrame, threshold: float = 0.72) -> DataFrame:
         return F.aggregate(toks, zero, step, part)
 
     f = held(a.select("doc_id", F.size("toks").alias("n"), factors(F.col("toks")).alias("f"), factors(F.reverse("toks")).alias("b")))
-    score = lambda c: F.when(F.col(c) > 0, F.col("n") / F.col(c)).otherwise(F.col("n").cast("double"))
+    score = lambda c: F.when(F.col(c) > 0, F.col("n") / F.col(c))
     return f.select("doc_id", r6((score("f") + score("b")) / 2).alias("mtld"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proselake.functions import text as T
 from proselake.operators.core_metrics import arrays, count_if, mean
 from proselake.operators.core_metrics import held as plain
-from proselake.operators.views import QUOTED_SQL, SENT, TOK, WORD_SQL, docs, tokens
+from proselake.operators.views import BODY, QUOTED_SQL, SENT, TOK, WORD_SQL, bodies, docs, tokens
 from proselake.plans.registry import query, r6
 
 # Word lists of the style measurements.
@@ -95,24 +95,26 @@ def style_pronouns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "style_pov_drift",
-    f"""WITH {TOK}, g AS (SELECT doc_id, i // 500 AS blk, CASE WHEN token IN {sql_list(PRONOUNS['first'])} THEN 0 WHEN token IN {sql_list(PRONOUNS['second'])} THEN 1 WHEN token IN {sql_list(PRONOUNS['third'])} THEN 2 END AS pov FROM tok),
+    f"""WITH {BODY}, wl AS (SELECT doc_id, source, regexp_extract_all(regexp_replace(body, '{QUOTED_SQL}', '', 'g'), '{WORD_SQL}') AS ws FROM b),
+tok AS (SELECT doc_id, unnest(range(len(ws))) AS i, replace(lower(unnest(ws)), '’', '''') AS token FROM wl), g AS (SELECT doc_id, i // 500 AS blk, CASE WHEN token IN {sql_list(PRONOUNS['first'])} THEN 0 WHEN token IN {sql_list(PRONOUNS['second'])} THEN 1 WHEN token IN {sql_list(PRONOUNS['third'])} THEN 2 END AS pov FROM tok),
 c AS (SELECT doc_id, blk, pov, count(*) AS n FROM g WHERE pov IS NOT NULL GROUP BY ALL),
 m AS (SELECT doc_id, blk, pov FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, blk ORDER BY n DESC, pov) = 1),
 l AS (SELECT doc_id, blk, pov, lag(pov) OVER (PARTITION BY doc_id ORDER BY blk) AS before FROM m)
 SELECT doc_id, count(*) AS blocks, CAST(sum(CASE WHEN pov <> before THEN 1 ELSE 0 END) AS BIGINT) AS drift,
- round(CASE WHEN count(*) > 1 THEN 100.0 * sum(CASE WHEN pov <> before THEN 1 ELSE 0 END) / (count(*) - 1) ELSE 0 END, 6) AS drift_rate FROM l GROUP BY doc_id""",
+ round(100.0 * sum(CASE WHEN pov <> before THEN 1 ELSE 0 END) / count(*), 6) AS drift_rate FROM l GROUP BY doc_id""",
 )
 def style_pov_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of the dominant person between blocks of 500 words with evidence."""
+    """Changes of the dominant person between blocks of 500 words of narration with evidence, and per hundred such blocks."""
     pov = None
     for k, v in enumerate(PRONOUNS.values()):
         pov = F.when(F.col("token").isin(v), k) if pov is None else pov.when(F.col("token").isin(v), k)
-    c = tokens(docs(spark, sf_dir)).select("doc_id", F.floor(F.col("i") / 500).alias("blk"), pov.alias("pov")).where("pov is not null").groupBy("doc_id", "blk", "pov").agg(F.count(F.lit(1)).alias("n"))
+    told = bodies(docs(spark, sf_dir)).select("doc_id", F.posexplode(T.tokens(T.narration(F.col("body")))).alias("i", "token"))
+    c = told.select("doc_id", F.floor(F.col("i") / 500).alias("blk"), pov.alias("pov")).where("pov is not null").groupBy("doc_id", "blk", "pov").agg(F.count(F.lit(1)).alias("n"))
     m = c.groupBy("doc_id", "blk").agg(F.max_by("pov", F.struct("n", -F.col("pov"))).alias("pov"))
     x = m.withColumn("before", F.lag("pov").over(Window.partitionBy("doc_id").orderBy("blk")))
     drift = F.sum(F.when(F.col("pov") != F.col("before"), 1).otherwise(0))
     blocks = F.count(F.lit(1))
-    return x.groupBy("doc_id").agg(blocks.alias("blocks"), drift.alias("drift"), r6(F.when(blocks > 1, 100.0 * drift / (blocks - 1)).otherwise(0.0)).alias("drift_rate"))
+    return x.groupBy("doc_id").agg(blocks.alias("blocks"), drift.alias("drift"), r6(100.0 * drift / blocks).alias("drift_rate"))
 
 
 @query(

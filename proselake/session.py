@@ -81,11 +81,16 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df marked for broadcast if it has at most this many rows (counted now); otherwise as it is, for a shuffled join."""
+def broadcast_if_small(df: DataFrame, rows: int = 500_000, size: int = 256 << 20) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and bytes (both measured now); otherwise as it is, for a shuffled join."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    some = df.limit(rows + 1)
+    width = F.lit(8 * len(df.columns))
+    if any(not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema):
+        width = F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    n, total = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def spread(df: DataFrame) -> DataFrame:
