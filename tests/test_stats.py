@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from proselake.functions import stats
 from proselake.functions.ordered import cumulative
 from proselake.operators import sequences as S
-from proselake.operators.compare import below, compare, corpus_stats, ecdf_distances
+from proselake.operators.compare import compare, corpus_stats, ecdf_distances, located
 
 
 @pytest.fixture(scope="module")
@@ -72,10 +72,14 @@ def test_ecdf_distances(spark):
     assert r.ks == pytest.approx(np.abs(gap).max(), abs=1e-6) and r.wasserstein == pytest.approx((np.abs(gap)[:-1] * np.diff(grid)).sum(), rel=1e-6)
 
 
-def test_binary_search(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 2.0, 5.0], x) for x in (0.0, 1.0, 2.0, 3.0, 5.0, 9.0)] + [([], 1.0)], "a array<double>, v double")
-    got = df.select(below(F.col("a"), F.col("v"), False), below(F.col("a"), F.col("v"), True)).collect()
-    assert [tuple(r) for r in got] == [(0, 0), (0, 1), (1, 3), (3, 3), (3, 4), (4, 4), (0, 0)]
+def test_located(spark):
+    """Counts below and at each point against a plain count, with ties, hot values and points outside the values."""
+    rng = np.random.default_rng(2)
+    dist = np.r_[np.round(rng.normal(0, 3, 300)), np.zeros(50), 1e9]
+    points = [-1e12, -2.0, 0.0, 0.0, 0.5, 3.0, 1e9, 1e12]
+    d = spark.createDataFrame([("g", float(x)) for x in dist], "g string, x double")
+    got = {r.x: (r.lt, r.le) for r in located(spark.createDataFrame([("g", x) for x in points], "g string, x double"), d, ["g"], "x").collect()}
+    assert all(got[x] == ((dist < x).sum(), (dist <= x).sum()) for x in points)
 
 
 @pytest.mark.parametrize("ref,value,method,severity", [
