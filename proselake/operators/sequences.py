@@ -199,13 +199,15 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
 
 def lz_complexity(x: np.ndarray) -> float:
     """Lempel-Ziv phrases of the sequence cut at its median, over n / log2 n."""
-    s = "".join("1" if v > np.median(x) else "0" for v in x)
-    i, k, phrases = 0, 1, 0
+    s = "".join("01"[int(v)] for v in x > np.median(x))
+    i, k, phrases, seen = 0, 1, 0, 0
     while i + k <= len(s):
-        if s[i : i + k] in s[: i + k - 1]:
-            k += 1
+        # a longer phrase can't begin before the place where the shorter one was found
+        at = s.find(s[i : i + k], seen, i + k - 1)
+        if at >= 0:
+            k, seen = k + 1, at
         else:
-            phrases, i, k = phrases + 1, i + k, 1
+            phrases, i, k, seen = phrases + 1, i + k, 1, 0
     phrases += i < len(s)
     return float(phrases * np.log2(len(s)) / len(s)) if len(s) > 1 else np.nan
 
@@ -239,28 +241,6 @@ def _quantile(parts: Callable[[], Iterator[np.ndarray]], n: int, q: float) -> fl
     return float(np.quantile([low, high], q * (n - 1) - k))
 
 
-def recurrence(x: np.ndarray, rate: float = 0.05) -> dict[str, float]:
-    """Recurrence quantification of the sequence embedded in two dimensions, at the threshold that gives the rate."""
-    names = ("rqa_determinism", "rqa_laminarity", "rqa_longest_diagonal")
-    if len(x) < 12 or x.std() == 0:
-        return dict.fromkeys(names, np.nan)
-    a, b, n = x[:-1], x[1:], len(x) - 1
-    # one diagonal or column of the matrix of distances at a time
-    diagonals = lambda: (np.sqrt((a[k:] - a[:-k]) ** 2 + (b[k:] - b[:-k]) ** 2) for k in range(2, n))
-    columns = lambda: (np.sqrt((a[: k - 1] - a[k]) ** 2 + (b[: k - 1] - b[k]) ** 2) for k in range(2, n))
-    most = _quantile(diagonals, (n - 1) * (n - 2) // 2, rate)
-    runs = lambda v: np.diff(np.flatnonzero(np.diff(np.r_[0, v.astype(int), 0])).reshape(-1, 2), axis=1).ravel()
-    total = straight = upright = longest = 0
-    for d in diagonals():
-        w = runs(d <= most)
-        total, straight, longest = total + int(w.sum()), straight + int(w[w >= 2].sum()), max(longest, int(w.max(initial=0)))
-    for d in columns():
-        w = runs(d <= most)
-        upright += int(w[w >= 2].sum())
-    total = max(1, total)
-    return {"rqa_determinism": straight / total, "rqa_laminarity": upright / total, "rqa_longest_diagonal": float(longest)}
-
-
 def higuchi(x: np.ndarray, kmax: int = 8) -> float:
     """Higuchi's fractal dimension."""
     n, pts = len(x), []
@@ -276,10 +256,10 @@ def higuchi(x: np.ndarray, kmax: int = 8) -> float:
 
 
 def measures(x: np.ndarray) -> dict[str, float]:
-    return spectral(x) | recurrence(x) | {"hurst": hurst(x), "dfa": dfa(x), "sample_entropy": sample_entropy(x), "lz_complexity": lz_complexity(x), "higuchi": higuchi(x)}
+    return spectral(x) | {"hurst": hurst(x), "dfa": dfa(x), "sample_entropy": sample_entropy(x), "lz_complexity": lz_complexity(x), "higuchi": higuchi(x)}
 
 
-def numeric_features(seq: DataFrame, least: int = 12) -> DataFrame:
+def numeric_features(seq: DataFrame, least: int = 12, compute: Callable[[np.ndarray], dict[str, float]] = measures) -> DataFrame:
     """(doc_id, seq_name, feature, value): measures that need the whole sequence at once. A sequence belongs to one text, and is as long as it."""
     arrays = seq.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("a")).where(F.size("a") >= least).select(*KEYS, F.transform("a", lambda r: r["x"]).alias("xs"))
 
@@ -287,7 +267,7 @@ def numeric_features(seq: DataFrame, least: int = 12) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for i, s, xs in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(i, s, k, round(v, 6)) for k, v in measures(np.array(xs, float)).items() if np.isfinite(v)]
+                out += [(i, s, k, round(v, 6)) for k, v in compute(np.array(xs, float)).items() if np.isfinite(v)]
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], [*KEYS, "feature", "value"])
 
@@ -296,7 +276,7 @@ def numeric_features(seq: DataFrame, least: int = 12) -> DataFrame:
 
 @query("sequence_numeric_features")
 def sequence_numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra, fractal dimensions, entropies and recurrence of each sequence (numeric routines, so without SQL)."""
+    """Spectra, fractal dimensions and entropies of each sequence (numeric routines, so without SQL)."""
     return numeric_features(_seq(spark, sf_dir))
 
 

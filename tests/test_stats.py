@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import stats
 from proselake.functions.ordered import cumulative
+from proselake.operators import sequence_features as SF
 from proselake.operators import sequences as S
 from proselake.operators.compare import compare, corpus_stats, ecdf_distances, located
 
@@ -110,7 +111,7 @@ def test_sequence_measures():
     sine, noise, flat = np.sin(t / 4), rng.normal(size=128), np.ones(128)
     assert S.spectral(sine)["spectral_entropy"] < 0.5 < S.spectral(noise)["spectral_entropy"]
     assert S.sample_entropy(sine) < S.sample_entropy(noise)
-    assert S.recurrence(sine)["rqa_determinism"] > S.recurrence(noise)["rqa_determinism"]
+    assert SF.recurrence(sine)["rqa_determinism"] > SF.recurrence(noise)["rqa_determinism"]
     assert np.isnan(S.spectral(flat)["spectral_entropy"]) and np.isnan(S.sample_entropy(flat)) and np.isnan(S.dfa(flat)) and np.isnan(S.hurst(flat[:5]))
     assert S.dfa(np.cumsum(noise)) > S.dfa(noise) and S.lz_complexity(noise) > S.lz_complexity(sine) and 1 < S.higuchi(sine) < S.higuchi(noise) < 2.3
 
@@ -133,11 +134,12 @@ def test_long_sequences_use_all_points(monkeypatch):
         d = np.sqrt((x[:-1, None] - x[None, :-1]) ** 2 + (x[1:, None] - x[None, 1:]) ** 2)
         r = np.triu(d <= np.quantile(d[np.triu_indices(len(d), 2)], 0.05), 2)
         # points of runs of two or more: those with a neighbour along the run
-        p = np.pad(r, 1)
-        diag, vert = p[:-2, :-2] | p[2:, 2:], p[:-2, 1:-1] | p[2:, 1:-1]
-        want = {"rqa_determinism": (r & diag).sum() / r.sum(), "rqa_laminarity": (r & vert).sum() / r.sum()}
+        p, both = np.pad(r, 1), r | r.T
+        q = np.pad(both, 1)
+        diag, vert = p[:-2, :-2] | p[2:, 2:], q[:-2, 1:-1] | q[2:, 1:-1]
+        want = {"rqa_determinism": (r & diag).sum() / r.sum(), "rqa_laminarity": (both & vert).sum() / both.sum()}
         for most in (1 << 21, 5000):
             monkeypatch.setattr(S, "MOST_PAIRS", most, raising=False)
             assert S.sample_entropy(x) == pytest.approx(-np.log(pairs[2] / pairs[1]))
-            got = S.recurrence(x)
+            got = SF.recurrence(x)
             assert {k: got[k] for k in want} == pytest.approx(want)
