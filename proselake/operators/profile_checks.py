@@ -225,7 +225,7 @@ def size_gate(findings: DataFrame, usual: DataFrame) -> DataFrame:
 def options_gate(findings: DataFrame, profile_options: DataFrame) -> DataFrame:
     """findings (corpus, metric_id, options map) + comparable: whether the options it was measured with are those of the profile
     (corpus, metric_id, options); where either side has none recorded it can't be refused."""
-    digest = lambda c: F.xxhash64(F.to_json(F.array_sort(F.map_entries(c))))
+    digest = lambda c: F.when(c.isNotNull(), F.xxhash64(F.to_json(F.array_sort(F.map_entries(c)))))
     p = profile_options.select(*KEYS, digest(F.col("options")).alias("__theirs"))
     j = findings.withColumn("__own", digest(F.col("options"))).join(broadcast_if_small(p), KEYS, "left")
     return j.withColumn("comparable", F.coalesce(F.col("__own") == F.col("__theirs"), F.lit(True))).drop("__own", "__theirs")
