@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import stats
 from proselake.functions import text as T
+from proselake.functions.grams import code_points, entropy, numbered, per_row, run_counts
 from proselake.operators.core_metrics import arrays
-from proselake.operators.style import FUNCTION_WORDS, function_word_z
+from proselake.operators.style import FUNCTION_WORDS
 from proselake.operators.views import TOK, WORD_SQL, bodies, docs, tokens
 from proselake.plans.registry import query, r6
+from proselake.session import materialize
 
 _SPECTRUM = f"""WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS c FROM tok GROUP BY ALL),
 s AS (SELECT doc_id, CAST(sum(c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS v, CAST(sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS v1, CAST(sum(CASE WHEN c = 2 THEN 1 ELSE 0 END) AS DOUBLE) AS v2, CAST(sum(c * c) AS DOUBLE) AS m2 FROM c GROUP BY doc_id)"""
@@ -63,27 +70,31 @@ c AS (SELECT doc_id, n, gram, count(*) AS c FROM g GROUP BY ALL)
 SELECT doc_id, CAST(n AS INTEGER) AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c) + 0.0, 6) AS entropy FROM c GROUP BY doc_id, n""",
 )
 def lexical_ngram_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of word uni-, bi- and trigrams in bits."""
-    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks").withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where(F.size("toks") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("toks", i, F.col("n")), " ")))
-    e = stats.entropy_of_counts(a.select("doc_id", F.col("n").alias("size"), F.explode(grams).alias("gram")), ["doc_id", "size"], "gram")
-    return e.select("doc_id", F.col("size").alias("n"), r6("entropy").alias("entropy"))
+    """Entropy of word uni-, bi- and trigrams in bits, counted within the row."""
+    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks")
+
+    def of(toks: list[str]) -> list[tuple]:
+        ids = numbered(toks)
+        return [(n, entropy(run_counts(ids, n))) for n in (1, 2, 3) if len(ids) >= n]
+
+    return per_row(a, of, "n int, entropy double").select("doc_id", "n", r6("entropy").alias("entropy"))
 
 
 @query(
     "lexical_char_entropy",
-    f"""WITH {TOK}, k AS (SELECT unnest([1, 2, 3]) AS n), g AS (SELECT doc_id, n, unnest(list_transform(range(greatest(length(body) - n + 1, 0)), lambda i: substring(body, i + 1, n))) AS gram FROM b, k),
+    f"""WITH {TOK}, k AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n), g AS (SELECT doc_id, n, unnest(list_transform(range(greatest(length(body) - n + 1, 0)), lambda i: substring(body, i + 1, n))) AS gram FROM b, k),
 c AS (SELECT doc_id, n, gram, count(*) AS c FROM g GROUP BY ALL) SELECT doc_id, CAST(n AS INTEGER) AS n, count(*) AS kinds, round(log2(sum(c)) - sum(c * log2(c)) / sum(c) + 0.0, 6) AS entropy FROM c GROUP BY doc_id, n""",
 )
 def lexical_char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of character uni-, bi- and trigrams in bits."""
-    b = bodies(docs(spark, sf_dir)).withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where(F.length("body") >= F.col("n"))
-    # cut through an array of characters, so that each gram doesn't walk the text from its start
-    b = b.withColumn("cs", F.split("body", ""))
-    b = b.withColumn("cs", F.filter("cs", lambda c: c != ""))
-    grams = F.when(F.col("n") == 1, F.col("cs")).otherwise(F.transform(F.sequence(F.lit(1), F.size("cs") - F.col("n") + 1), lambda i: F.array_join(F.slice("cs", i, F.col("n")), "")))
-    e = stats.entropy_of_counts(b.select("doc_id", F.col("n").alias("size"), F.explode(grams).alias("gram")), ["doc_id", "size"], "gram")
-    return e.select("doc_id", F.col("size").alias("n"), "kinds", r6("entropy").alias("entropy"))
+    """Kinds and entropy in bits of runs of one to six characters, counted within the row."""
+    b = bodies(docs(spark, sf_dir)).select("doc_id", "body")
+
+    def of(text: str) -> list[tuple]:
+        ids = code_points(text)
+        counts = [(n, run_counts(ids, n)) for n in range(1, 7) if len(ids) >= n]
+        return [(n, len(c), entropy(c)) for n, c in counts]
+
+    return per_row(b, of, "n int, kinds bigint, entropy double").select("doc_id", "n", "kinds", r6("entropy").alias("entropy"))
 
 
 @query(
@@ -160,14 +171,85 @@ SELECT doc_id, source, author, round(delta, 5) AS delta FROM d QUALIFY row_numbe
 )
 def author_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source whose centroid of standardised function-word rates lies nearest to each document, itself left out of its own."""
-    z = function_word_z(docs(spark, sf_dir).where("source is not null"), "source")
-    c = z.groupBy(F.col("source").alias("author"), "token").agg(F.sum("z").alias("cs"), F.count(F.lit(1)).alias("cn"))
-    own = F.col("author") == F.col("source")
-    x = z.join(c, "token").where(~own | (F.col("cn") > 1))
-    centre = F.when(own, (F.col("cs") - F.col("z")) / (F.col("cn") - 1)).otherwise(F.col("cs") / F.col("cn"))
-    d = x.groupBy("doc_id", "source", "author").agg(F.round(F.avg(F.abs(F.col("z") - centre)), 5).alias("delta"))
-    best = d.groupBy("doc_id", "source").agg(F.min(F.struct("delta", "author")).alias("best"))
-    return best.select("doc_id", "source", "best.author", "best.delta")
+    return nearest_author(docs(spark, sf_dir).where("source is not null"))
+
+
+#: Centroids that a task holds at once (a vector of a number a function word each); more are compared block by block.
+CENTROIDS = 100_000
+
+
+def nearest_author(documents: DataFrame, least: int = 200) -> DataFrame:
+    """(doc_id, source, author, delta) of documents of `least` words or more.
+
+    Each document is a vector in its row. Sources come to a sum of vectors each, and documents are compared with blocks of
+    these as matrices, so nothing is joined on words and the work is spread over documents.
+    """
+    a = arrays(documents, "source", want="toks").where(F.size("toks") >= least).select("doc_id", "source", "toks")
+    words = {w: i for i, w in enumerate(FUNCTION_WORDS)}
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for toks in b.column(2).to_pylist():
+                c = Counter(toks)
+                out.append([1000.0 * c[w] / len(toks) for w in words])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "source", "x"])
+
+    v = materialize(a.mapInArrow(vectors, "doc_id bigint, source string, x array<double>"))
+    s = {r.k: r for r in v.select(F.posexplode("x").alias("k", "r")).groupBy("k").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("sd")).collect()}  # one row a function word
+    kept = [k for k in sorted(s) if s[k].sd > 1e-12]
+    mean, sd = np.array([s[k].m for k in kept]), np.array([s[k].sd for k in kept])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        for b in batches:
+            z = (np.array(b.column(2).to_pylist()).reshape(b.num_rows, -1)[:, kept] - mean) / sd
+            for src, row in zip(b.column(1).to_pylist(), z):
+                h = held.setdefault(src, [0, np.zeros(len(kept))])
+                h[0], h[1] = h[0] + 1, h[1] + row
+            if len(held) > 50_000:
+                yield _sums(held)
+                held = {}
+        yield _sums(held)
+
+    part = v.mapInArrow(sums, "author string, n bigint, z array<double>").select("author", "n", F.posexplode("z").alias("k", "z")).groupBy("author", "k").agg(F.sum("n").alias("n"), F.sum("z").alias("z"))
+    c = materialize(part.groupBy("author").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda r: r["z"]).alias("z")))  # a number a function word
+    blocks = max(1, -(-c.count() // CENTROIDS))
+    best = None
+    for i in range(blocks):
+        rows = c.where(F.pmod(F.xxhash64("author"), F.lit(blocks)) == i).orderBy("author").collect()
+        near = v.mapInArrow(_nearest([r.author for r in rows], np.array([r.n for r in rows], float), np.array([r.z for r in rows]).reshape(len(rows), -1), kept, mean, sd), "doc_id bigint, source string, author string, delta double")
+        best = near if best is None else best.unionByName(near)
+    if blocks == 1:
+        return best
+    return best.groupBy("doc_id", "source").agg(F.min(F.struct("delta", "author")).alias("b")).select("doc_id", "source", "b.author", "b.delta")
+
+
+def _sums(held: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tolist() for h in held.values()], pa.list_(pa.float64()))], ["author", "n", "z"])
+
+
+def _nearest(authors: list[str], n: np.ndarray, sums: np.ndarray, kept: list[int], mean: np.ndarray, sd: np.ndarray):
+    """The nearest of the authors (in order of their names) for each document of a batch; of equal distances the first."""
+    at = {a: i for i, a in enumerate(authors)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = sums / n[:, None] if len(authors) else sums
+        for b in batches:
+            ids, sources, out, deltas = [], [], [], []
+            x = np.array(b.column(2).to_pylist()).reshape(b.num_rows, -1)
+            z = (x[:, kept] - mean) / sd if b.num_rows else x
+            for i, src, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), z):
+                d = np.abs(centre - row).mean(1) if len(authors) else np.zeros(0)
+                if (k := at.get(src)) is not None:
+                    d[k] = np.abs((sums[k] - row) / (n[k] - 1) - row).mean() if n[k] > 1 else np.inf
+                d = np.round(d, 5)
+                if len(d) and np.isfinite(d.min()):
+                    j = int(d.argmin())
+                    ids.append(i), sources.append(src), out.append(authors[j]), deltas.append(float(d[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(out, pa.string()), pa.array(deltas, pa.float64())], ["doc_id", "source", "author", "delta"])
+
+    return run
 
 
 @query(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import log, sqrt
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import text as T
+from proselake.functions.grams import per_row
 from proselake.operators.core_metrics import arrays
 from proselake.operators.views import PARA, SENT, WORD_SQL, docs, paragraphs, sentences
 from proselake.plans.registry import query, r6
@@ -15,21 +20,22 @@ tf AS (SELECT doc_id, s, token, count(*) AS tf FROM w GROUP BY ALL), df AS (SELE
 v AS (SELECT doc_id, s, token, tf * (ln((1.0 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (doc_id, token) JOIN n USING (doc_id)), nr AS (SELECT doc_id, s, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL)"""
 
 
-def tfidf(documents: DataFrame) -> DataFrame:
-    """(doc_id, s, token, x): unit TF-IDF vectors of sentences, with a document's sentences as the collection."""
-    w = sentences(documents).select("doc_id", "s", F.explode(T.tokens(F.col("sentence"))).alias("token"))
-    tf = w.groupBy("doc_id", "s", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "token"))
-    n = sentences(documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    v = tf.withColumn("df", df).join(n, "doc_id").withColumn("x", F.col("tf") * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "s")))
-    return v.select("doc_id", "s", "token", (F.col("x") / norm).alias("x"))
+def cosines(sentences: list[list[str]], back: int) -> list[list[float]]:
+    """For each sentence but the first the cosines with those up to `back` before it, by TF-IDF over the sentences given."""
+    counts = [Counter(s) for s in sentences]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: log((1.0 + len(counts)) / (1 + k)) + 1 for t, k in df.items()}
+    vectors = []
+    for c in counts:
+        v = {t: k * idf[t] for t, k in c.items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        vectors.append({t: x / norm for t, x in v.items()} if norm else v)
+    dot = lambda a, b: sum(x * b[t] for t, x in a.items() if t in b) if len(a) <= len(b) else sum(x * a[t] for t, x in b.items() if t in a)
+    return [[dot(vectors[i], vectors[k]) for k in range(max(0, i - back), i)] for i in range(1, len(vectors))]
 
 
-def near_similarity(v: DataFrame, back: int) -> DataFrame:
-    """(doc_id, s, d, cos): cosine of each sentence with those up to back before it that share a word; each word is sent once to each place it is compared at."""
-    prior = v.select("doc_id", "token", F.col("x").alias("y"), F.explode(F.array(*map(F.lit, range(1, back + 1)))).alias("d"), F.col("s").alias("t")).select("doc_id", "token", "y", "d", (F.col("t") + F.col("d")).alias("s"))
-    return v.join(prior, ["doc_id", "s", "token"]).groupBy("doc_id", "s", "d").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
+def _sentence_tokens(documents: DataFrame) -> DataFrame:
+    return arrays(documents, want="ss").select("doc_id", F.transform("ss", T.tokens).alias("ss")).where(F.size("ss") > 1)
 
 
 @query(
@@ -39,11 +45,13 @@ c AS (SELECT q.doc_id, q.s, coalesce(dot / (x.norm * y.norm), 0) AS cos FROM sen
 SELECT doc_id, count(*) AS pairs, round(quantile_cont(cos, 0.5), 6) AS median_similarity, round(100.0 * avg(CASE WHEN cos >= 0.8 THEN 1 ELSE 0 END), 6) AS high_share FROM c GROUP BY doc_id""",
 )
 def similarity_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of each sentence with the next."""
-    d = docs(spark, sf_dir)
-    near = near_similarity(tfidf(d), 1).select("doc_id", "s", "cos")
-    pairs = sentences(d).select("doc_id", "s").where("s > 0").join(near, ["doc_id", "s"], "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
-    return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.percentile("cos", F.lit(0.5))).alias("median_similarity"), r6(100.0 * F.avg((F.col("cos") >= 0.8).cast("int"))).alias("high_share"))
+    """Cosine of each sentence with the next, within the row."""
+
+    def of(ss: list[list[str]]) -> list[tuple]:
+        c = np.array([x[-1] for x in cosines(ss, 1)])
+        return [(len(c), float(np.median(c)), 100.0 * float((c >= 0.8).mean()))]
+
+    return per_row(_sentence_tokens(docs(spark, sf_dir)), of, "pairs bigint, median_similarity double, high_share double").select("doc_id", "pairs", r6("median_similarity").alias("median_similarity"), r6("high_share").alias("high_share"))
 
 
 @query(
@@ -53,11 +61,13 @@ def similarity_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sent.doc_id, round(quantile_cont(coalesce(m, 0), 0.5), 6) AS max_prior_similarity, round(100.0 * avg(CASE WHEN m >= 0.8 THEN 1 ELSE 0 END), 6) AS loop_share FROM sent LEFT JOIN m USING (doc_id, s) WHERE s > 0 GROUP BY sent.doc_id""",
 )
 def similarity_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sentence's nearest of the three before."""
-    d = docs(spark, sf_dir)
-    m = near_similarity(tfidf(d), 3).groupBy("doc_id", "s").agg(F.max("cos").alias("m"))
-    a = sentences(d).select("doc_id", "s").where("s > 0").join(m, ["doc_id", "s"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
-    return a.groupBy("doc_id").agg(r6(F.percentile("m", F.lit(0.5))).alias("max_prior_similarity"), r6(100.0 * F.avg((F.col("m") >= 0.8).cast("int"))).alias("loop_share"))
+    """Each sentence's nearest of the three before, within the row."""
+
+    def of(ss: list[list[str]]) -> list[tuple]:
+        m = np.array([max(x) for x in cosines(ss, 3)])
+        return [(float(np.median(m)), 100.0 * float((m >= 0.8).mean()))]
+
+    return per_row(_sentence_tokens(docs(spark, sf_dir)), of, "max_prior_similarity double, loop_share double").select("doc_id", r6("max_prior_similarity").alias("max_prior_similarity"), r6("loop_share").alias("loop_share"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import text as T
+from proselake.functions.grams import numbered, per_row, run_counts
 from proselake.operators.core_metrics import arrays, count_if, mean
 from proselake.operators.core_metrics import held as plain
 from proselake.operators.views import BODY, QUOTED_SQL, SENT, TOK, WORD_SQL, bodies, docs, tokens
@@ -127,13 +128,19 @@ SELECT doc_id, CAST(n AS INTEGER) AS n, count(*) AS repeated, round(10000.0 * su
 FROM c WHERE c >= 2 GROUP BY doc_id, n""",
 )
 def style_ngram_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated runs of three to six words: kinds, excess and commonest, per ten thousand words."""
+    """Repeated runs of three to six words: kinds, excess and commonest, per ten thousand words. Counted within the row."""
     a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks")
-    a = a.withColumn("n", F.explode(F.array(*map(F.lit, (3, 4, 5, 6))))).where(F.size("toks") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("toks", i, F.col("n")), " ")))
-    g = a.select("doc_id", "n", F.size("toks").alias("n_toks"), F.explode(grams).alias("gram")).groupBy("doc_id", "n", "n_toks", "gram").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
-    out = g.groupBy("doc_id", "n", "n_toks").agg(F.count(F.lit(1)).alias("repeated"), F.sum(F.col("c") - 1).alias("more"), F.max("c").alias("top"))
-    return out.select("doc_id", "n", "repeated", r6(10000.0 * F.col("more") / F.col("n_toks")).alias("excess_rate"), r6(10000.0 * F.col("top") / F.col("n_toks")).alias("max_rate"))
+
+    def of(toks: list[str]) -> list[tuple]:
+        ids, out = numbered(toks), []
+        for n in (3, 4, 5, 6):
+            c = run_counts(ids, n)
+            c = c[c >= 2]
+            if len(c):
+                out.append((n, len(c), 10000.0 * float((c - 1).sum()) / len(ids), 10000.0 * float(c.max()) / len(ids)))
+        return out
+
+    return per_row(a, of, "n int, repeated bigint, excess_rate double, max_rate double").select("doc_id", "n", "repeated", r6("excess_rate").alias("excess_rate"), r6("max_rate").alias("max_rate"))
 
 
 OPEN_SQL = f"""WITH {SENT}, o AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(sentence, '{WORD_SQL}')[1:3], lambda x: replace(lower(x), '’', '''')), ' ') AS opening FROM sent),
@@ -236,12 +243,17 @@ def style_punctuation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "style_function_word_delta",
     f"""WITH {TOK}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id HAVING count(*) >= 200), v AS (SELECT unnest({[*FUNCTION_WORDS]}) AS token),
 r AS (SELECT n.doc_id, v.token, 1000.0 * count(tok.token) / any_value(n.n) AS rate FROM n CROSS JOIN v LEFT JOIN tok ON tok.doc_id = n.doc_id AND tok.token = v.token GROUP BY n.doc_id, v.token),
-s AS (SELECT token, avg(rate) AS m, stddev_pop(rate) AS sd FROM r GROUP BY token)
-SELECT doc_id, round(avg(abs(rate - m) / sd), 6) AS delta FROM r JOIN s USING (token) WHERE sd > 1e-12 GROUP BY doc_id""",
+s AS (SELECT token, avg(rate) AS m, stddev_pop(rate) AS sd FROM r GROUP BY token),
+d AS (SELECT doc_id, round(avg(abs(rate - m) / sd), 6) AS delta FROM r JOIN s USING (token) WHERE sd > 1e-12 GROUP BY doc_id), w AS (SELECT doc_id, count(*) AS n_words FROM tok GROUP BY doc_id)
+SELECT doc_id, n_words, delta, CASE WHEN n_words < 200 THEN 'fewer than 200 words' END AS warning FROM w LEFT JOIN d USING (doc_id)""",
 )
 def style_function_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Burrows's Delta of each document of 200 words or more against the corpus: mean absolute z of function-word rates."""
-    return function_word_z(docs(spark, sf_dir)).groupBy("doc_id").agg(r6(F.avg(F.abs("z"))).alias("delta"))
+    """Burrows's Delta of each document against the corpus: mean absolute z of function-word rates. Documents of fewer than
+    200 words have none, with a warning, and don't enter the corpus' rates."""
+    d = docs(spark, sf_dir)
+    n = arrays(d, want="toks").select("doc_id", F.size("toks").cast("bigint").alias("n_words")).where("n_words > 0")
+    delta = function_word_z(d).groupBy("doc_id").agg(r6(F.avg(F.abs("z"))).alias("delta"))
+    return n.join(delta, "doc_id", "left").withColumn("warning", F.when(F.col("n_words") < 200, "fewer than 200 words"))
 
 
 def function_word_rates(documents: DataFrame, *more: str, least: int = 200) -> DataFrame:
