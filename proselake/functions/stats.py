@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proselake.functions import ordered
+
 MAD_TO_SIGMA, IQR_TO_SIGMA = 1.4826, 1.349
 
 
@@ -36,12 +38,14 @@ def summarize(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     held = df.where(finite(x)).select(*keys, F.col(x).cast("double").alias("x"))
     s = held.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"),
-        quantiles("x", (0.1, 0.25, 0.5, 0.75, 0.9)).alias("q"), skewness("x").alias("skewness"), excess_kurtosis("x").alias("kurtosis"),
+        skewness("x").alias("skewness"), excess_kurtosis("x").alias("kurtosis"),
     )
-    s = s.withColumn("median", F.col("q")[2])
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    # a group may hold a tenth of all rows, so its quantiles come from ranks of slices
+    q = ordered.quantiles(held, keys, "x", (0.1, 0.25, 0.5, 0.75, 0.9)).drop("n")
+    s = s.alias("s").join(q.alias("q"), same("s", "q")).select("s.*", F.col("q.q").alias("q")).withColumn("median", F.col("q")[2])
     dev = held.alias("h").join(s.select(*keys, "median").alias("c"), same("h", "c")).select(*(F.col(f"h.{k}").alias(k) for k in keys), F.abs(F.col("h.x") - F.col("c.median")).alias("d"))
-    mad = dev.groupBy(*keys).agg(F.percentile("d", F.lit(0.5)).alias("mad"))
+    mad = ordered.quantiles(dev, keys, "d", (0.5,)).select(*keys, F.col("q")[0].alias("mad"))
     s = s.alias("s").join(mad.alias("m"), same("s", "m"))
     n = F.col("n").cast("double")
     bimodal = (F.pow("skewness", 2) + 1) / (F.col("kurtosis") + 3 * F.pow(n - 1, 2) / ((n - 2) * (n - 3)))

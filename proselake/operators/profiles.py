@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.functions import stats
+from proselake.functions import ordered, stats
 from proselake.functions import text as T
 from proselake.operators.compare import COMPARED, LATEST, STATS_SQL, compared, corpus_stats, latest_findings
 from proselake.operators.core_metrics import arrays, held
@@ -70,9 +70,10 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = latest_findings(table(spark, sf_dir, "findings")).where(stats.finite("value"))
     d = f.groupBy("doc_id", "metric_id").agg(F.percentile("value", F.lit(0.5)).alias("v"))
     n = d.agg(F.countDistinct("doc_id").alias("docs"))
-    c = d.groupBy("metric_id").agg(F.count(F.lit(1)).alias("c"), F.percentile("v", F.lit(0.5)).alias("median")).crossJoin(F.broadcast(n)).where("c >= 0.3 * docs")
+    c = ordered.quantiles(d, ["metric_id"], "v", (0.5,)).select("metric_id", F.col("n").alias("c"), F.col("q")[0].alias("median")).crossJoin(F.broadcast(n)).where("c >= 0.3 * docs")
     k = F.broadcast(c.orderBy(F.desc("c"), "metric_id").limit(20).select("metric_id", "median"))
-    mad = F.broadcast(d.join(k, "metric_id").groupBy("metric_id", "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5)).alias("mad")))
+    off = ordered.quantiles(d.join(k, "metric_id").select("metric_id", F.abs(F.col("v") - F.col("median")).alias("off")), ["metric_id"], "off", (0.5,))
+    mad = F.broadcast(off.select("metric_id", F.col("q")[0].alias("mad")).join(k, "metric_id"))
     # each document carries its values as a map, so that every wanted metric is looked up in its row
     docs_ = d.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("metric_id", "v"))).alias("vs"))
     x = docs_.join(mad, how="cross").withColumn("v", F.try_element_at("vs", F.col("metric_id")))

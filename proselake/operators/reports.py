@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proselake.functions import ordered
 from proselake.functions import text as T
 from proselake.operators.core_metrics import arrays
 from proselake.operators.style import ABSOLUTE
@@ -53,7 +54,7 @@ def report_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of words of nine letters or more, against the median of the source."""
     a = arrays(docs(spark, sf_dir).where("source is not null"), "source", want="ws").select("doc_id", "source", "ws").where(F.size("ws") > 0)
     r = a.select("doc_id", "source", (100.0 * F.size(F.filter("ws", lambda w: F.length(w) >= 9)) / F.size("ws")).alias("r"))
-    m = r.groupBy("source").agg(F.percentile("r", F.lit(0.5)).alias("m"))
+    m = ordered.quantiles(r.select("source", "r"), ["source"], "r", (0.5,)).select("source", F.col("q")[0].alias("m"))
     return r.join(m, "source").select("doc_id", "source", r6("r").alias("long_share"), r6(F.col("r") - F.col("m")).alias("above_median"))
 
 

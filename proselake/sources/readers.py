@@ -72,15 +72,15 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
-def _epub(raw: bytes | None) -> str | None:
-    """Text of an EPUB's spine in order; None if it isn't one or breaks the limits."""
+def _epub(raw: bytes | None) -> tuple[str | None, str | None]:
+    """(text of an EPUB's spine in order, None), or (None, why it was refused): it isn't one or breaks the limits that keep archives from bursting."""
     if raw is None:
-        return None
+        return None, "no content"
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
         infos = z.infolist()
         if len(infos) > MAX_FILES or sum(i.file_size for i in infos) > MAX_TOTAL or any(i.file_size > MAX_ENTRY or i.file_size > MAX_RATIO * max(1, i.compress_size) for i in infos):
-            return None
+            return None, "beyond the limits of files, sizes or compression"
         ns = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.idpf.org/2007/opf"}
         opf = ElementTree.fromstring(z.read("META-INF/container.xml")).find(".//c:rootfile", ns).get("full-path")
         root = ElementTree.fromstring(z.read(opf))
@@ -92,20 +92,21 @@ def _epub(raw: bytes | None) -> str | None:
             html = re.sub(r"(?is)<(script|style|nav|head)\b.*?</\1>", " ", html)
             html = re.sub(r"(?i)</?(?:p|div|li|h[1-6]|br|tr|section)\b[^>]*>", "\n", html)
             out.append("".join(ElementTree.fromstring(f"<x>{re.sub(r'<[^>]*>', '', html)}</x>").itertext()) if "&" not in html else re.sub(r"<[^>]*>", "", html))
-        return re.sub(r"\s*\n\s*\n\s*", "\n\n", "\n\n".join(out)).strip()
-    except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError, ValueError):
-        return None
+        return re.sub(r"\s*\n\s*\n\s*", "\n\n", "\n\n".join(out)).strip(), None
+    except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError, ValueError) as e:
+        return None, f"not an EPUB: {type(e).__name__}"
 
 
 def epub_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, path, text): a row for each .epub file below a folder; files that can't be read have null texts."""
+    """(doc_id, path, text, refused): a row for each .epub file below a folder; files that can't be read have null texts and the reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_epub(x) for x in b.column(1).to_pylist()], pa.string())], ["path", "text"])
+            texts, reasons = zip(*map(_epub, b.column(1).to_pylist())) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(reasons, pa.string())], ["path", "text", "refused"])
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(path)
-    return _ids(raw.select("path", "content").mapInArrow(run, "path string, text string"))
+    return _ids(raw.select("path", "content").mapInArrow(run, "path string, text string, refused string"))
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
@@ -132,8 +133,9 @@ def conllu_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manuscript(chapters: DataFrame) -> DataFrame:
-    """(number, text, gap, repeated): numbered chapters in order, with a mark where a number is left out or stands twice."""
-    c = chapters.withColumn("n", F.regexp_extract("path", r"(\d+)[^/\d]*$", 1)).where("n <> ''").select(F.col("n").cast("int").alias("number"), "text")
-    w = Window.orderBy("number")  # a manuscript has a few dozen chapters
+    """(number, text, gap, repeated): numbered chapters in order, with a mark where a number is left out or stands twice. The
+    chapters of one folder are a manuscript."""
+    c = chapters.withColumn("n", F.regexp_extract("path", r"(\d+)[^/\d]*$", 1)).where("n <> ''").select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.col("n").cast("int").alias("number"), "text")
+    w = Window.partitionBy("folder").orderBy("number")
     step = F.col("number") - F.lag("number").over(w)
     return c.select("number", "text", (step > 1).alias("gap"), (step == 0).alias("repeated"))

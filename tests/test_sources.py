@@ -40,8 +40,8 @@ def test_epub(spark, tmp_path):
         z.writestr("O/a.xhtml", "<html><body><p>First</p></body></html>")
         z.writestr("O/b.xhtml", "<html><body><p>Second</p></body></html>")
     (tmp_path / "bad.epub").write_bytes(b"nothing")
-    got = {r.path.rsplit("/", 1)[1]: r.text for r in readers.epub_files(spark, str(tmp_path)).collect()}
-    assert got == {"b.epub": "First\n\nSecond", "bad.epub": None}
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.refused) for r in readers.epub_files(spark, str(tmp_path)).collect()}
+    assert got == {"b.epub": ("First\n\nSecond", None), "bad.epub": (None, "not an EPUB: BadZipFile")}
 
 
 CONLLU = "# newdoc id = d1\n# text = A dog ran.\n1\tA\ta\tDET\t_\t_\t2\tdet\t_\t_\n2\tdog\tdog\tNOUN\t_\t_\t3\tnsubj\t_\t_\n3\tran\trun\tVERB\t_\t_\t0\troot\t_\t_\n\n# text = It sat.\n1-2\tIt\t_\t_\n1\tIt\tit\tPRON\t_\t_\t2\tnsubj\t_\t_\n\n# newdoc id = d2\n# text = End.\n1\tEnd\tend\tNOUN\t_\t_\t0\troot\t_\t_\n"
