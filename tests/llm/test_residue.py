@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from proselake.llm import residue as R
@@ -69,3 +72,38 @@ def test_length_changes_no_verdict(text):
 
 def test_none_is_a_word():
     assert not flagged("None of them came, and None the wiser was the old man who had asked for it all that long day by the sea.")
+
+
+def test_gate_is_fitted_on_all_documents(docs_of):
+    """Weights are those of counts over every sentence, however many documents there are and however they lie."""
+    texts = [(i, "The page was gone. A sailor came" if i % 3 else "Access to the river") for i in range(6_000)]
+    told = [s for s in R.examples() if R.words_of(s.lower())]
+    gate = R.fit_gate(docs_of(texts).repartition(3))
+    for word, n in (("page", 4_000), ("was", 4_000), ("access", 2_000), ("the", 6_000), ("denied", 0)):
+        held = sum(word in R.words_of(s.lower()) for s in told)
+        expected = math.log((held + 0.5) / len(told) * (4_000 * 2 + 2_000 + 1) / (n + 0.5))
+        assert gate.weights[word] == pytest.approx(min(R.MOST_WEIGHT, max(0.05, expected)))
+
+
+def test_gate_loses_no_message(spark, docs_of):
+    """Whatever sentence the patterns accept passes, also in spellings and forms that no generated example has."""
+    gate = R.fit_gate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    told = ["401 Unauthorized", "Put the body", "Bad gateways", "Sign in to seek", "1502 bad gateway", "Serverfehlerhaft", "请打开javascript", "In et qui dolore"]
+    rng = random.Random(1)
+    made = [R.generated(m, rng) + rng.choice(("", "s", "x", "页", " and on", "44")) for m in (*R.MESSAGES, R.MESSAGE_AT_CODE.pattern) for _ in range(200)]
+    accepted = [s for s in told + made if R.classify(s)]
+    assert len(accepted) > 3_000 and accepted[: len(told)] == told
+    assert [s for s in accepted if not gate.passes(s.lower())] == []
+    prose = [(i, f"A sailor walked along the river number {i}.") for i in range(50)]
+    assert [r.doc_id for r in R.with_residue(docs_of([*prose, (99, "A tale.\n401 Unauthorized")])).collect()] == [99]
+
+
+def test_least_score():
+    """The cheapest alternative; words that may go on count nothing, classes of words their weight."""
+    w = {"access": 3.0, "denied": 2.0, "page": 1.5, "gone": 4.0, "error": 5.0, "exception": 6.0, "javascript": 6.0, "asdfgh": 6.0, "serverfehler": 6.0, "404": 2.5}
+    assert R.least_score(r"access denied\b|page gone\b", w) == 5.0
+    assert R.least_score(r"access denied|page gone\b", w) == 3.0
+    assert R.least_score(r"(?:page )?[45]\d\d\b\W*gone$", w) == 6.5
+    assert R.least_score(r"[a-z]+error: ", w) == 5.0
+    assert R.least_score(r"page .{0,9}gone\b", w) == 1.5
+    assert R.least_score(r"page .{0,9}\bgone\b", w) == 5.5
