@@ -107,3 +107,9 @@ def test_least_score():
     assert R.least_score(r"[a-z]+error: ", w) == 5.0
     assert R.least_score(r"page .{0,9}gone\b", w) == 1.5
     assert R.least_score(r"page .{0,9}\bgone\b", w) == 5.5
+
+
+def test_prose_beside_a_message_hides_it_not(docs_of):
+    """Where many sentences of prose that now reach the tree make the last word a slot, the message among them is still found."""
+    prose = [(i, f"This page is {w}.") for i, w in enumerate("torn old blank yellow stained wet thin burnt folded white".split())]
+    assert [r.doc_id for r in R.with_residue(docs_of([*prose, (99, "This page is unavailable.")])).collect()] == [99]
