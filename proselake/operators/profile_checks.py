@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import stats
+from proselake.functions import text as T
 from proselake.functions.ordered import cumulative
 from proselake.operators.compare import COMPARED, LATEST, STATS_SQL, _sig_sql, compared, corpus_stats, latest_findings
-from proselake.operators.named_sequences import named_sequences
-from proselake.operators.views import SENT, WORD_SQL, docs
+from proselake.operators.core_metrics import held
+from proselake.operators.views import SENT, WORD_SQL, bodies, docs
 from proselake.plans.registry import query, r6, sig
-from proselake.session import broadcast_if_small, table
+from proselake.session import broadcast_if_small, materialize, table
 
 KEYS = ["corpus", "metric_id"]
 #: Quantiles of the corpus that cut its bands; the least and most of a text's size against the corpus' median.
@@ -45,9 +50,26 @@ UNION ALL SELECT doc_id, 'paragraph_words', CAST(len(regexp_extract_all(paragrap
 ITEMS = ("sentence_words", "sentence_chars", "paragraph_words")
 
 
+def item_lists(documents: DataFrame) -> DataFrame:
+    """(doc_id, item, vs ARRAY<INT>): each document's values of each item, counted within its row in one pass over the text."""
+    d = held(held(bodies(documents)).select("doc_id", T.paragraphs(F.col("body")).alias("ps")))
+    d = held(d.select("doc_id", F.transform("ps", T.sentences_of_paragraph).alias("pss")))
+    # no word goes over the end of a sentence, so a paragraph has the words of its sentences
+    w = F.transform("pss", lambda ss: F.transform(ss, lambda s: F.size(T.words(s)))).alias("w")
+    d = held(d.select("doc_id", w, F.transform(F.flatten("pss"), F.length).alias("c")))
+    total = F.transform("w", lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
+    vs = F.array(*(F.struct(F.lit(k).alias("item"), v.alias("vs")) for k, v in zip(ITEMS, (F.flatten("w"), F.col("c"), total))))
+    return d.select("doc_id", F.inline(vs)).where(F.size("vs") > 0)
+
+
 def items(documents: DataFrame) -> DataFrame:
     """(doc_id, item, v): the values of single sentences and paragraphs that are pooled over a corpus."""
-    return named_sequences(documents).where(F.col("seq_name").isin(*ITEMS)).select("doc_id", F.col("seq_name").alias("item"), F.col("value").alias("v"))
+    return single(item_lists(documents))
+
+
+def single(lists: DataFrame) -> DataFrame:
+    """(doc_id, item, v) of (doc_id, item, vs)."""
+    return lists.select("doc_id", "item", F.explode("vs").alias("v")).withColumn("v", F.col("v").cast("double"))
 
 
 @query("corpus_item_pools", f"WITH {SENT}, {ITEMS_SQL} SELECT item, count(*) AS n, count(DISTINCT doc_id) AS texts, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90 FROM items GROUP BY item")
@@ -77,10 +99,34 @@ SELECT doc_id, item, n, round(list_sum(list_transform(range(1, 102), lambda i: a
 )
 def document_curve_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the curve of each document's sentences and paragraphs lies from the corpus' pooled one, and the squared cost of moving one to the other."""
-    i = items(docs(spark, sf_dir))
-    d = i.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n"), curve("v").alias("own"))
-    p = d.join(F.broadcast(pools(i).select("item", "curve")), "item")
-    return p.select("doc_id", "item", "n", F.round(curve_distance(F.col("own"), F.col("curve")), 5).alias("distance"), F.round(curve_distance(F.col("own"), F.col("curve"), 2), 4).alias("transport"))
+    # written once, as the pooled curves are needed before the documents are compared with them
+    lists = materialize(item_lists(docs(spark, sf_dir)))
+    own = lists.groupBy("doc_id", "item").agg(F.flatten(F.collect_list("vs")).alias("vs"))
+    g = curve_gaps(own, {r["item"]: r["curve"] for r in pools(single(lists)).collect()})  # 101 numbers an item
+    return g.select("doc_id", "item", "n", F.round("distance", 5).alias("distance"), F.round("transport", 4).alias("transport"))
+
+
+def curve_gaps(lists: DataFrame, curves: dict[str, list[float]]) -> DataFrame:
+    """(doc_id, item, n, distance, transport): mean gap and mean squared gap between the quantile function of a row's values
+    and the curve of its item; the rows of a batch are compared together."""
+    held_curves = {k: np.array(c) for k, c in curves.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                at = b.column(2).offsets.to_numpy().astype(np.int64)
+                v = b.column(2).values.to_numpy()[at[0] : at[-1]].astype(np.float64)
+                n, first = np.diff(at), (at[:-1] - at[0])[:, None]
+                v = v[np.lexsort((v, np.repeat(np.arange(len(n)), n)))]
+                items = b.column(1).to_pylist()
+                pooled = np.array([held_curves[x] for x in items])
+                place = (n - 1)[:, None] * np.arange(pooled.shape[1]) / (pooled.shape[1] - 1)
+                low = np.floor(place).astype(np.int64)
+                a, z = v[first + low], v[first + np.ceil(place).astype(np.int64)]
+                gap = np.abs(a + (z - a) * (place - low) - pooled)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.string()), pa.array(n, pa.int64()), pa.array(gap.mean(axis=1)), pa.array((gap * gap).mean(axis=1))], ["doc_id", "item", "n", "distance", "transport"])
+
+    return lists.select("doc_id", "item", "vs").mapInArrow(run, "doc_id bigint, item string, n bigint, distance double, transport double")
 
 
 @query(

@@ -67,6 +67,35 @@ def test_pools_are_exact(spark):
     assert r.n == len(v) and r.texts == 7 and np.allclose(r.curve, np.quantile(v, np.linspace(0, 1, 101)))
 
 
+def test_curve_distance_reads_texts_once(spark, sf, docs_of):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    d = docs_of([(1, "One two. Three!\n\nFour five six."), (2, None), (3, " "), (4, "… — 7\n\nAlone")])
+    got = sorted(tuple(r) for r in P.items(d).collect())
+    words, chars, paragraphs = ([("sentence_words", v) for v in (2.0, 1.0, 3.0)], [("sentence_chars", v) for v in (8.0, 6.0, 14.0)], [("paragraph_words", v) for v in (3.0, 3.0)])
+    assert got == sorted([(1, *x) for x in words + chars + paragraphs] + [(4, "sentence_words", 1.0), (4, "sentence_chars", 5.0), (4, "paragraph_words", 1.0)])
+    assert plan(P.items(d)).count("PROJECT GUTENBERG") == 2  # one pass: the start and the end of a book
+    df = P.document_curve_distance(spark, sf)
+    assert "PROJECT GUTENBERG" not in plan(df)  # what is left compares numbers
+    per, all_ = {}, {}
+    for r in P.items(P.docs(spark, sf)).collect():
+        per.setdefault((r.doc_id, r.item), []).append(r.v), all_.setdefault(r.item, []).append(r.v)
+    q = lambda v: np.quantile(v, np.linspace(0, 1, 101))
+    rows = df.collect()
+    assert len(rows) == len(per)
+    for r in rows:
+        gap = q(per[r.doc_id, r.item]) - q(all_[r.item])
+        assert r.n == len(per[r.doc_id, r.item]) and r.distance == pytest.approx(np.abs(gap).mean(), abs=6e-6) and r.transport == pytest.approx((gap**2).mean(), abs=6e-5)
+
+
+def test_curve_gaps_of_many_rows(spark):
+    rng = np.random.default_rng(5)
+    vs = [[int(x) for x in rng.integers(1, 60, rng.integers(1, 30))] for _ in range(2500)]
+    df = spark.createDataFrame([(i, "x", v) for i, v in enumerate(vs)], "doc_id bigint, item string, vs array<int>").coalesce(1)
+    c = np.quantile(np.concatenate(vs), np.linspace(0, 1, 101))
+    for r in P.curve_gaps(df, {"x": c.tolist()}).collect():
+        assert r.n == len(vs[r.doc_id]) and r.distance == pytest.approx(np.abs(np.quantile(vs[r.doc_id], np.linspace(0, 1, 101)) - c).mean())
+
+
 def test_gates(spark):
     f = spark.createDataFrame([("c", "m", 5, {"n": "1"}), ("c", "m", 400, {"n": "2"}), ("c", "m", 100, None)], "corpus string, metric_id string, sample_size long, options map<string,string>")
     usual = spark.createDataFrame([("c", "m", 100.0)], "corpus string, metric_id string, usual double")
