@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,12 +186,40 @@ SELECT doc_id, round(list_avg([100.0 * sum(CASE WHEN gap <= 50 THEN 1 ELSE 0 END
 FROM g JOIN n USING (doc_id) GROUP BY doc_id""",
 )
 def style_local_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How soon content words come again: mean share within 50, 100 and 250 words, and the median gap."""
-    t = tokens(docs(spark, sf_dir)).select("doc_id", "i", "token")
-    n = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    g = t.where((F.length("token") > 3) & ~F.col("token").isin(COMMON)).withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy("doc_id", "token").orderBy("i"))).join(n, "doc_id")
-    share = lambda w: 100.0 * F.count_if(F.col("gap") <= w) / F.first("n")
-    return g.groupBy("doc_id").agg(r6((share(50) + share(100) + share(250)) / 3).alias("repetition"), r6(F.percentile("gap", F.lit(0.5))).alias("median_gap"))
+    """How soon content words come again: mean share within 50, 100 and 250 words, and the median gap. Counted within the row."""
+    a = arrays(docs(spark, sf_dir), want="toks").select("doc_id", "toks").where(F.size("toks") > 0)
+    g = a.mapInArrow(_gaps, "doc_id bigint, n bigint, w50 bigint, w100 bigint, w250 bigint, median double")
+    share = lambda w: 100.0 * F.col(f"w{w}") / F.col("n")
+    return g.select("doc_id", r6((share(50) + share(100) + share(250)) / 3).alias("repetition"), r6("median").alias("median_gap"))
+
+
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, toks): doc_id + words, content words that stood at most 50, 100 and 250 words before, and the median gap
+    (null if none comes again), for texts with content words; the texts of a batch are counted together."""
+    common = pa.array(COMMON)
+    for batch in batches:
+        for b in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+            at = b.column(1).offsets.to_numpy().astype(np.int64)
+            toks = b.column(1).values.slice(at[0], at[-1] - at[0])
+            n = np.diff(at)
+            kept = np.flatnonzero(pc.and_(pc.greater(pc.utf8_length(toks), 3), pc.invert(pc.is_in(toks, common))).to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(n)), n)[kept]
+            # a number for each word of each text; the stable sort keeps a word's places in order
+            kinds = pc.dictionary_encode(toks.take(pa.array(kept)))
+            key = row * max(len(kinds.dictionary), 1) + kinds.indices.to_numpy().astype(np.int64)
+            by = np.argsort(key, kind="stable")
+            again = np.diff(key[by]) == 0
+            gap, of = np.diff(kept[by])[again], row[by][1:][again]
+            c = np.bincount(of, minlength=len(n))
+            ends = np.cumsum(c)
+            gap = gap[np.lexsort((gap, of))]
+            has = np.flatnonzero(c)
+            median = np.full(len(n), np.nan)
+            median[has] = (gap[ends[has] - c[has] + (c[has] - 1) // 2] + gap[ends[has] - c[has] + c[has] // 2]) / 2
+            within = [np.bincount(of[gap <= w], minlength=len(n)) for w in (50, 100, 250)]
+            some = np.unique(row)  # texts with content words
+            cols = [b.column(0).take(pa.array(some)), *(pa.array(x[some].astype(np.int64)) for x in (n, *within)), pa.array(median[some], from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "w50", "w100", "w250", "median"])
 
 
 @query(

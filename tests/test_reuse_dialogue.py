@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proselake.operators import dialogue as D
 from proselake.operators import profile_checks as P
 from proselake.operators import reuse as R
+from proselake.operators import style as S
 
 TALK = "“Go,” she said, “and run.” He nodded. “Why?” asked Tom. “Now!”\n\n“Never,” whispered Anna.\n\n“A.” “B.” “C.”"
 
@@ -115,3 +116,27 @@ def test_metric_selection(spark):
     r = spark.createDataFrame([("a", False, False), ("b", True, False), ("c", False, True)], "metric_id string, needs_parse boolean, needs_model boolean")
     names = lambda **k: sorted(x.metric_id for x in P.selected_metrics(r, **k).collect())
     assert names() == ["a", "b"] and names(parse=False) == ["a"] and names(model=True, enabled=["c"]) == ["c"]
+
+
+def test_local_repetition_within_rows(spark, docs_of, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["the", "with", "they", "cat", "Stone", "stone", "river", "été’s", "étés", "Don’t", "don't", "ſtone", *(f"word{chr(97 + k)}" for k in range(20))]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 700))) for _ in range(60)] + ["the with cat", "", None, "alone", "river river", "— 7 !", "stone the Stone cat STONE"]
+    rows = [(i, texts[i % len(texts)]) for i in range(2200)]  # more than two slices of a batch
+    monkeypatch.setattr(S, "docs", lambda *_: docs_of(rows).coalesce(1))
+    df = S.style_local_repetition(spark, "")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan  # no row a word, no table sent to the driver
+    want = {}
+    for i, t in rows:
+        toks = [w.lower().replace("’", "'") for w in (t or "").split() if w[0].isalpha()]
+        last, gaps, content = {}, [], False
+        for k, w in enumerate(toks):
+            if len(w) > 3 and w not in S.COMMON:
+                content = True
+                gaps += [k - last[w]] if w in last else []
+                last[w] = k
+        if content:
+            want[i] = (sum(100 * sum(g <= w for g in gaps) / len(toks) for w in (50, 100, 250)) / 3, float(np.median(gaps)) if gaps else None)
+    got = {r.doc_id: (r.repetition, r.median_gap) for r in df.collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == pytest.approx(want[i][0], abs=1e-6) and got[i][1] == want[i][1] for i in want)
